@@ -16,7 +16,7 @@ import oracle_queries  # noqa: E402
 from capacast import session  # noqa: E402
 from capacast.functions import scalars, scores  # noqa: E402
 from capacast.operators import joins, ranking, rows, selection  # noqa: E402
-from capacast.plans import campaign, layers, learning, reports, serving  # noqa: E402
+from capacast.plans import campaign, layers, learning, refresh, reports, serving  # noqa: E402
 from capacast.sources import bindings, schemas, tables  # noqa: E402
 from capacast.streaming import jobs  # noqa: E402
 
@@ -90,8 +90,9 @@ class Tables:
     @cached_property
     def summaries(self) -> DataFrame:
         """One summary per segment, standing in for a history of events."""
-        newest = self.log.groupBy("customer_segment").agg(F.max("sent_at").alias("summary_generated_at"))
-        return campaign.campaign_summary(self.log, ["customer_segment"]).join(newest, "customer_segment").select(
+        grouped = campaign.campaign_summary(
+            self.log, ["customer_segment"], summary_generated_at=F.max("sent_at"))
+        return grouped.select(
             F.concat(F.lit("EVT-"), "customer_segment").alias("event_id"),
             F.col("customer_segment").alias("event_name"),
             F.to_date("summary_generated_at").alias("event_date"), F.lit("Main venue").alias("venue_name"),
@@ -329,12 +330,12 @@ def kpi_bundle(t: Tables) -> DataFrame:
 # --- windows and ranking --------------------------------------------------------------------
 
 def lag_trend(t: Tables) -> DataFrame:
-    """Change between single readings; a site's history is cut into days."""
+    """Change between single readings; a site's history is cut into short chunks."""
     changed = ranking.change_from_previous(
         t.cleaned.select("tower_id", "timestamp", "bandwidth_utilization_pct", "active_connections"),
         ["tower_id"], "timestamp",
         {"change": ("bandwidth_utilization_pct", 2), "connection_change": ("active_connections", 1)},
-        chunk_seconds=DAY)
+        chunk_seconds=layers.WINDOW_SECONDS)
     return changed.select(
         "tower_id", "timestamp", "change", F.col("connection_change").cast("double").alias("connection_change"))
 
@@ -345,8 +346,8 @@ def window_trend(t: Tables) -> DataFrame:
 
 
 def latest_per_key(t: Tables) -> DataFrame:
-    readings = t.cleaned.select("tower_id", "timestamp", "bandwidth_utilization_pct", "congestion_score")
-    return ranking.latest_per_key(readings, ["tower_id"], "timestamp")
+    return ranking.newest_values(
+        t.cleaned, ["tower_id"], "timestamp", ["bandwidth_utilization_pct", "congestion_score"])
 
 
 def top1_per_key(t: Tables) -> DataFrame:
@@ -412,10 +413,22 @@ def stream_provision(t: Tables) -> DataFrame:
     return t.spark.read.schema(t.slices.schema).parquet(path).where(F.col("slice_id").startswith("BURST-"))
 
 
+def layer_refresh(t: Tables) -> DataFrame:
+    """All layers written to files, then brought up to date again without new input."""
+    folder = session.scratch(t.spark, "layers")
+    settings = refresh.Settings(window_seconds=DAY, score_cut=SCORE_CUT, rollup_time="window_start")
+    for _ in range(2):
+        streams = {"telemetry": t.telemetry_stream(),
+                   "accounts": bindings.accounts_from(t.stream("customer"))}
+        written = refresh.refresh(folder, streams, t.telemetry, t.calendar, t.slices, at(AS_OF), settings)
+    return written[refresh.REVENUE]
+
+
 # --- learning -------------------------------------------------------------------------------
 
 def stratified_split(t: Tables) -> DataFrame:
-    return selection.stratified_split(t.training, learning.CONGESTION_LABEL, SITE_WINDOW).select(
+    table = session.materialise(t.training, "training")
+    return selection.stratified_split(table, learning.CONGESTION_LABEL, SITE_WINDOW).select(
         *SITE_WINDOW, learning.CONGESTION_LABEL, "is_test")
 
 
@@ -536,6 +549,7 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "stream_trend": stream_trend,
     "stream_latest": stream_latest,
     "stream_provision": stream_provision,
+    "layer_refresh": layer_refresh,
     "ml_feature_table": lambda t: t.training,
     "future_label": lambda t: learning.future_label(t.features).select(
         *SITE_WINDOW, learning.CONGESTION_LABEL, "congested_later"),

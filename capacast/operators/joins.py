@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .rows import require_not_null
 
 SALTS = 16
 
@@ -30,11 +31,15 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, salt_by: Sequence[s
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
-def flag_keys(df: DataFrame, keys: DataFrame, key: str, out: str, salt_by: Sequence[str],
-              salts: int = SALTS) -> DataFrame:
-    """1 for rows whose key occurs in ``keys``, else 0; never repeats a row."""
+def flag_keys(df: DataFrame, keys: DataFrame, key: str, out: str,
+              salt_by: Sequence[str] = (), salts: int = SALTS) -> DataFrame:
+    """1 for rows whose key occurs in ``keys``, else 0; never repeats a row.
+
+    Name ``salt_by`` columns when a single key may hold a large share of ``df``.
+    Without them the join can reuse a partitioning by the key that ``df`` has.
+    """
     marked = keys.select(key).distinct().withColumn("_hit", F.lit(1))
-    flagged = join_unique(df, marked, key, salt_by, "left", salts)
+    flagged = join_unique(df, marked, key, salt_by, "left", salts) if salt_by else df.join(marked, key, "left")
     return flagged.withColumn(out, F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
@@ -65,13 +70,13 @@ def flag_windows_inside(df: DataFrame, spans: DataFrame, key: str, window_second
 def distinct_sites(telemetry: DataFrame, site: str = "tower_id", lat: str = "latitude",
                    lon: str = "longitude") -> DataFrame:
     """The site dimension found in the facts; a site seen at two places gives two rows."""
-    return telemetry.select(site, lat, lon).dropna(subset=[lat, lon]).distinct()
+    return require_not_null(telemetry.select(site, lat, lon), [lat, lon]).distinct()
 
 
 def _venue_cells(venues: DataFrame, radius_miles: float, size: float) -> DataFrame:
     north, east = geo.reach_degrees(F.col("venue_latitude"), radius_miles)
     return (
-        venues.dropna(subset=["venue_latitude", "venue_longitude"])
+        require_not_null(venues, ["venue_latitude", "venue_longitude"])
         .withColumn("_row", F.explode(geo.cells_around(F.col("venue_latitude"), north, size)))
         .withColumn("_col", F.explode(geo.cells_around(F.col("venue_longitude"), east, size)))
     )
@@ -137,5 +142,12 @@ def backfill(dimension: DataFrame, facts: DataFrame, key: str, defaults: Mapping
 
 
 def new_rows_only(rows: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose keys are not in ``existing`` yet, one per key."""
-    return rows.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    """Rows whose keys are not in ``existing`` yet, one per key.
+
+    ``existing`` may be far larger than ``rows``: it is first reduced to the keys
+    in question, which needs no shuffle of it when those are few.
+    """
+    keys = list(keys)
+    fresh = rows.dropDuplicates(keys)
+    known = existing.select(*keys).join(fresh.select(*keys), keys, "left_semi").distinct()
+    return fresh.join(known, keys, "left_anti")

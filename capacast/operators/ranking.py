@@ -25,6 +25,17 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequ
     return top_per_key(df, keys, [F.desc(time), *[F.asc(c) for c in tiebreak]])
 
 
+def newest_values(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str]) -> DataFrame:
+    """The named columns of the newest row of each key, as a plain aggregate.
+
+    With numbers, flags and times the aggregate runs in hash tables without any
+    sort, and each task sends one row per key.  All columns come from the same
+    row; when two rows share the newest time it is one of them.
+    """
+    return df.groupBy(*keys).agg(
+        F.max(time).alias(time), *[F.max_by(c, time).alias(c) for c in columns])
+
+
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """The k first rows; each task keeps k rows and only those are merged."""
     return df.orderBy(*order).limit(k)

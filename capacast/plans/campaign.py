@@ -90,8 +90,11 @@ def proposals(targets: DataFrame, sent_at: Column, prefix: str = "PROP-") -> Dat
     }).select(*schemas.names(schemas.PROPOSALS))
 
 
-def campaign_summary(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Targets, acceptances and money of a proposal log, overall or per group."""
+def campaign_summary(log: DataFrame, by: Sequence[str] = (), **more: Column) -> DataFrame:
+    """Targets, acceptances and money of a proposal log, overall or per group.
+
+    ``more`` adds named aggregates to the same pass.
+    """
     value = F.col("monthly_revenue_opportunity")
     at_risk = F.col("churn_risk_score") > PROTECTED_CHURN
     return log.groupBy(*by).agg(
@@ -102,6 +105,7 @@ def campaign_summary(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.round(exact_sum(F.col("annual_upsell_contribution")), 2).alias("projected_upsell_arr"),
         F.round(sum_if(at_risk, F.col("monthly_contract_value") * 12), 2).alias("arr_protected_from_churn"),
         F.count_if(F.col("utilization_pct") > 100).cast("int").alias("sla_violations"),
+        *[column.alias(name) for name, column in more.items()],
     )
 
 

@@ -94,7 +94,9 @@ def with_trends(windowed: DataFrame, steps: int = 1, chunk_seconds: int | None =
 
 def with_flags(trended: DataFrame, near_sites: DataFrame) -> DataFrame:
     """Add the near-event and predicted flags to windows with trends."""
-    flagged = flag_keys(trended, near_sites, "tower_id", "near_event_flag", ["window_start"])
+    # A site has one row per window, so no site dominates and the join keeps the
+    # partitioning of the trend step.
+    flagged = flag_keys(trended, near_sites, "tower_id", "near_event_flag")
     return flagged.select(
         "tower_id", "window_start", "window_end", "avg_bandwidth_util", "peak_bandwidth_util",
         F.col("avg_connections").cast("bigint").alias("avg_connections"), "peak_connections",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_unit
+from ..operators.rows import require_not_null
 from ..operators.selection import oversample, stratified_split
 from ..session import materialise, shared_folder
 
@@ -44,7 +45,7 @@ def feature_table(df: DataFrame, features: Sequence[str], label: str, keys: Sequ
     """Keys, the available features and the label; rows with a null are dropped."""
     present, _ = available(df, features)
     wanted = [*keys, *[c for c in present if c not in keys], label]
-    return df.select(*wanted).dropna(subset=[*present, label])
+    return require_not_null(df.select(*wanted), [*present, label])
 
 
 def future_label(features: DataFrame, steps: int = 1, label: str = CONGESTION_LABEL,
@@ -75,6 +76,7 @@ def train_and_test(table: DataFrame, label: str, keys: Sequence[str], test_share
 
     Splitting first keeps copies of one row from landing on both sides.
     """
+    table = materialise(table, "training")
     split = materialise(stratified_split(table, label, keys, test_share, seed), "split")
     train, test = (split.where(F.col("is_test") == side).drop("is_test") for side in (False, True))
     if factor:
@@ -96,7 +98,9 @@ def _assembled(columns: Sequence[str], classifier) -> Pipeline:
 
 def _checkpointed(df: DataFrame) -> None:
     # Boosting cuts its lineage every few rounds by a reliable checkpoint.
-    df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
 
 
 def fit_forest(train: DataFrame, columns: Sequence[str], label: str, trees: int = 200, depth: int = 12,

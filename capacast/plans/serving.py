@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import exact_mean, exact_sum
 from ..functions.scalars import burst_suffix, fill, number_or, since
-from ..operators.ranking import latest_per_key, top_k
+from ..operators.ranking import newest_values, top_k
 
 STEPS = 30
 REPLAY_FLAG = 70
@@ -22,14 +22,11 @@ def site_status(telemetry: DataFrame, features: DataFrame, prefix: str | None =
     """The newest raw reading of each site next to its newest window, if any."""
     if prefix is not None:
         telemetry, features = (df.where(F.col("tower_id").startswith(prefix)) for df in (telemetry, features))
-    # Only the needed columns travel to the ranking shuffle.
-    reading = telemetry.select(
-        "tower_id", "timestamp", "bandwidth_utilization_pct", "active_connections", "latency_ms")
-    raw = latest_per_key(reading, ["tower_id"], "timestamp").drop("timestamp")
-    window = latest_per_key(features.select(
-        "tower_id", "window_start", F.col("avg_congestion_score").alias("congestion_score"),
-        "congestion_predicted_15min", "avg_bandwidth_util", "peak_bandwidth_util", "bandwidth_trend_15min",
-    ), ["tower_id"], "window_start").drop("window_start")
+    raw = newest_values(telemetry, ["tower_id"], "timestamp", [
+        "bandwidth_utilization_pct", "active_connections", "latency_ms"]).drop("timestamp")
+    window = newest_values(features, ["tower_id"], "window_start", [
+        "avg_congestion_score", "congestion_predicted_15min", "avg_bandwidth_util", "peak_bandwidth_util",
+        "bandwidth_trend_15min"]).drop("window_start").withColumnRenamed("avg_congestion_score", "congestion_score")
     return raw.join(window, "tower_id", "left")
 
 

@@ -84,6 +84,32 @@ def account_score(predicted: str) -> str:
         + (CASE WHEN {predicted} = 1 THEN 0.2 ELSE 0.0 END)::DOUBLE)""", 4)
 
 
+def scored(last_flagged: str) -> str:
+    return f"""
+      SELECT customer_id, company_name, customer_type, customer_segment, contract_tier,
+        monthly_contract_value, e.contracted_bandwidth_mbps, contracted_latency_ms, upsell_propensity_score,
+        monthly_upsell_opportunity_usd, churn_risk_score, contract_renewal_months, account_manager_id,
+        slice_id, tower_id, current_bandwidth_mbps, utilization_pct, window_start, avg_congestion_score,
+        bandwidth_trend_15min, congestion_predicted_15min, near_event_flag, {BREACH} AS breach_risk_level,
+        {account_score('congestion_predicted_15min')} AS conversion_score,
+        monthly_upsell_opportunity_usd AS monthly_revenue_opportunity, {AS_OF} AS scored_at
+      FROM enriched e JOIN top_slice USING (customer_id) JOIN {last_flagged} USING (tower_id)
+      WHERE utilization_pct >= 85 OR (utilization_pct >= 75 AND congestion_predicted_15min = 1)"""
+
+
+def provisioned(targets: str) -> str:
+    return f"""
+      SELECT 'BURST-' || upper(md5(customer_id)) AS slice_id, customer_id, tower_id,
+        customer_type || '_burst' AS slice_type,
+        contracted_bandwidth_mbps * 0.5::DOUBLE AS contracted_bandwidth_mbps,
+        contracted_bandwidth_mbps * 0.5::DOUBLE AS bandwidth_allocated_mbps,
+        contracted_bandwidth_mbps * 0.5::DOUBLE * 0.6::DOUBLE AS current_bandwidth_mbps,
+        60::DOUBLE AS utilization_pct, 8::DOUBLE AS latency_guarantee_ms,
+        scored_at AS created_timestamp, scored_at + to_hours(4) AS expires_timestamp, 'active' AS status,
+        contracted_bandwidth_mbps * 0.5::DOUBLE * 0.008::DOUBLE AS revenue_per_hour
+      FROM {targets}"""
+
+
 # Shared sub-queries, in order of dependence.
 PARTS = {
     "telemetry": """
@@ -188,16 +214,7 @@ PARTS = {
     "last_flagged": """
       SELECT * FROM features WHERE congestion_predicted_15min = 1 OR avg_congestion_score > 40
       QUALIFY row_number() OVER (PARTITION BY tower_id ORDER BY window_start DESC) = 1""",
-    "opportunities": f"""
-      SELECT customer_id, company_name, customer_type, customer_segment, contract_tier,
-        monthly_contract_value, e.contracted_bandwidth_mbps, contracted_latency_ms, upsell_propensity_score,
-        monthly_upsell_opportunity_usd, churn_risk_score, contract_renewal_months, account_manager_id,
-        slice_id, tower_id, current_bandwidth_mbps, utilization_pct, window_start, avg_congestion_score,
-        bandwidth_trend_15min, congestion_predicted_15min, near_event_flag, {BREACH} AS breach_risk_level,
-        {account_score('congestion_predicted_15min')} AS conversion_score,
-        monthly_upsell_opportunity_usd AS monthly_revenue_opportunity, {AS_OF} AS scored_at
-      FROM enriched e JOIN top_slice USING (customer_id) JOIN last_flagged USING (tower_id)
-      WHERE utilization_pct >= 85 OR (utilization_pct >= 75 AND congestion_predicted_15min = 1)""",
+    "opportunities": scored("last_flagged"),
     "rollup": f"""
       SELECT cast(window_start AS DATE) AS analysis_date, extract(hour FROM window_start)::INT AS hour_of_day,
         customer_segment, count(*) AS total_customers_at_risk,
@@ -247,16 +264,7 @@ PARTS = {
         (count(*) FILTER (utilization_pct > 100))::INT AS sla_violations,
         max(sent_at) AS summary_generated_at
       FROM log GROUP BY customer_segment""",
-    "bursts": """
-      SELECT 'BURST-' || upper(md5(customer_id)) AS slice_id, customer_id, tower_id,
-        customer_type || '_burst' AS slice_type,
-        contracted_bandwidth_mbps * 0.5::DOUBLE AS contracted_bandwidth_mbps,
-        contracted_bandwidth_mbps * 0.5::DOUBLE AS bandwidth_allocated_mbps,
-        contracted_bandwidth_mbps * 0.5::DOUBLE * 0.6::DOUBLE AS current_bandwidth_mbps,
-        60::DOUBLE AS utilization_pct, 8::DOUBLE AS latency_guarantee_ms,
-        scored_at AS created_timestamp, scored_at + to_hours(4) AS expires_timestamp, 'active' AS status,
-        contracted_bandwidth_mbps * 0.5::DOUBLE * 0.008::DOUBLE AS revenue_per_hour
-      FROM targets""",
+    "bursts": provisioned("targets"),
     "raw_latest": """
       SELECT * FROM telemetry
       QUALIFY row_number() OVER (PARTITION BY tower_id ORDER BY timestamp DESC NULLS LAST) = 1""",
@@ -285,6 +293,11 @@ PARTS = {
     "hourly": windowed("cleaned", 3600),
     "closed": "SELECT * FROM hourly "
               "WHERE window_end <= (SELECT max(timestamp) FROM cleaned) - to_minutes(10)",
+    "closed_last_flagged": """
+      SELECT * FROM features WHERE (congestion_predicted_15min = 1 OR avg_congestion_score > 40)
+        AND window_end <= (SELECT max(timestamp) FROM cleaned) - to_minutes(10)
+      QUALIFY row_number() OVER (PARTITION BY tower_id ORDER BY window_start DESC) = 1""",
+    "closed_opportunities": scored("closed_last_flagged"),
     "ml_table": """
       SELECT tower_id, window_start, avg_bandwidth_util, peak_bandwidth_util, avg_connections,
         avg_congestion_score, avg_latency_ms, avg_packet_loss_pct, bandwidth_trend_15min,
@@ -507,6 +520,8 @@ SELECTS = {
         WHERE {bucket('timestamp', 3600)} + to_hours(1)
           <= (SELECT max(timestamp) FROM cleaned) - to_minutes(10)
         QUALIFY row_number() OVER (PARTITION BY tower_id ORDER BY timestamp DESC) = 1""",
+    "stream_provision": provisioned("closed_opportunities") + " WHERE conversion_score >= 0.65",
+    "layer_refresh": "SELECT * FROM rollup",
     # Learning
     "ml_feature_table": "SELECT * FROM ml_table",
     "future_label": """SELECT tower_id, window_start, congestion_predicted_15min, lead(congestion_predicted_15min)

@@ -1,0 +1,119 @@
+"""Joins against brute force, with crowded keys and places."""
+
+import math
+import random
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from capacast.operators import joins
+
+
+def miles(vlat, vlon, lat, lon):
+    return math.sqrt((69.1 * (vlat - lat)) ** 2 + (69.1 * (vlon - lon) * math.cos(vlat / 57.3)) ** 2)
+
+
+def places(seed):
+    rng = random.Random(seed)
+    sites, venues = [], []
+    for i in range(300):
+        crowded = i % 3 == 0
+        lat = 47.6 if crowded else rng.uniform(47.3, 47.9)
+        lon = -122.3 if crowded else rng.uniform(-122.6, -122.0)
+        sites.append((f"S{i}", lat, lon))
+    for i in range(40):
+        venues.append((f"E{i}", rng.uniform(47.3, 47.9), rng.uniform(-122.6, -122.0)))
+    # Near the pole longitudes crowd together; south and east of zero signs change.
+    sites += [("P1", 89.0, 10.0), ("P2", 89.0, 14.0), ("Z1", -0.01, -0.01), ("Z2", 0.02, 0.03), ("N", None, 1.0)]
+    venues += [("EP", 89.01, 12.0), ("EZ", 0.0, 0.0), ("EN", None, 0.0)]
+    return sites, venues
+
+
+def frames(spark, seed=1):
+    sites, venues = places(seed)
+    return (spark.createDataFrame(venues, "event_id string, venue_latitude double, venue_longitude double"),
+            joins.distinct_sites(spark.createDataFrame(
+                sites, "tower_id string, latitude double, longitude double")), sites, venues)
+
+
+def expected_pairs(sites, venues, radius):
+    return {(v, s) for v, vlat, vlon in venues for s, lat, lon in sites
+            if None not in (vlat, lat) and miles(vlat, vlon, lat, lon) <= radius}
+
+
+def test_proximity_equals_brute_force(spark):
+    events, located, sites, venues = frames(spark)
+    for radius in (0.5, 5.0, 17.0):
+        found = joins.proximity_join(events, located, radius).select("event_id", "tower_id").collect()
+        assert len(found) == len(set(found))
+        assert {tuple(r) for r in found} == expected_pairs(sites, venues, radius)
+
+
+def test_proximity_does_not_depend_on_salts(spark):
+    events, located, _, _ = frames(spark, 2)
+    results = [sorted(joins.proximity_join(events, located, salts=n).collect(), key=repr) for n in (1, 4, 9)]
+    assert results[0] and results[0] == results[1] == results[2]
+
+
+def test_sites_near_is_the_set_of_the_pairs(spark):
+    events, located, sites, venues = frames(spark, 3)
+    found = [r[0] for r in joins.sites_near(events, located).collect()]
+    assert sorted(found) == sorted({s for _, s in expected_pairs(sites, venues, 5.0)})
+
+
+def test_site_at_two_places_gives_two_rows(spark):
+    facts = spark.createDataFrame(
+        [("A", 1.0, 1.0)] * 5 + [("A", 2.0, 1.0), ("B", None, 1.0)], "tower_id string, latitude double, longitude double")
+    assert joins.distinct_sites(facts).count() == 2
+
+
+def test_flag_does_not_repeat_rows(spark):
+    rows = spark.range(100).select(F.lit("hot").alias("k"), F.col("id"))
+    keys = spark.createDataFrame([("hot",), ("hot",), ("x",)], "k string")
+    for salt_by in ((), ("id",)):
+        flagged = joins.flag_keys(rows, keys, "k", "near", salt_by)
+        assert flagged.count() == 100 and flagged.where("near = 1").count() == 100
+    assert joins.flag_keys(rows, keys.where("k = 'x'"), "k", "near").where("near = 0").count() == 100
+
+
+def test_join_unique_spreads_a_hot_key(spark):
+    left = spark.range(1000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    right = spark.createDataFrame([("hot", 1), ("4", 2)], "k string, v int")
+    plain = left.join(right, "k", "left")
+    salted = joins.join_unique(left, right, "k", ["id"], "left")
+    assert sorted(plain.collect(), key=repr) == sorted(salted.select(plain.columns).collect(), key=repr)
+    assert joins.join_unique(left, right, "k", ["id"]).count() == 335
+
+
+def test_windows_inside_spans_equal_brute_force(spark):
+    rng = random.Random(5)
+    start = datetime(2024, 1, 1)
+    length = 300
+    windows = [(f"T{i % 5}", start + timedelta(seconds=length * rng.randrange(400))) for i in range(400)]
+    spans = []
+    for i in range(60):
+        a = start + timedelta(seconds=rng.randrange(100_000))
+        spans.append((f"T{i % 4}", a, a + timedelta(seconds=rng.choice([0, 299, 300, 900, 20_000]))))
+    spans += spans[:5] + [("T4", start, start + timedelta(seconds=300))]
+    flagged = joins.flag_windows_inside(
+        spark.createDataFrame(windows, "tower_id string, window_start timestamp_ntz"),
+        spark.createDataFrame(spans, "tower_id string, event_start_time timestamp_ntz, event_end_time timestamp_ntz"),
+        "tower_id", length, "near")
+    expected = sorted(
+        (t, w, int(any(k == t and a <= w and w + timedelta(seconds=length) <= b for k, a, b in spans)))
+        for t, w in windows)
+    assert sorted(tuple(r) for r in flagged.collect()) == expected
+    assert {r[2] for r in expected} == {0, 1}
+
+
+def test_backfill(spark):
+    sites = spark.createDataFrame([("a",), ("b",), ("b",)], "k string")
+    facts = spark.createDataFrame([("a", 5.0), ("c", 6.0)], "k string, v double")
+    assert sorted(map(tuple, joins.backfill(sites, facts, "k", {"v": 0.0}).collect())) == [("a", 5.0), ("b", 0.0)]
+
+
+def test_new_rows_only(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id int, v string")
+    existing = spark.createDataFrame([(2,)] * 50 + [(3,)], "id int")
+    assert [tuple(r) for r in joins.new_rows_only(rows, existing, ["id"]).collect()] == [(1, "a")]

@@ -1,0 +1,44 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from capacast.operators import selection
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """1,000 rows, of which one label holds most."""
+    label = F.when(F.col("id") % 10 == 0, 1).otherwise(0)
+    return spark.range(1000).select("id", label.alias("label")).cache()
+
+
+def test_split_is_exact_and_repeatable(rows):
+    split = selection.stratified_split(rows, "label", ["id"])
+    counts = {(r.label, r.is_test): r["count"] for r in split.groupBy("label", "is_test").count().collect()}
+    assert counts == {(0, True): 180, (0, False): 720, (1, True): 20, (1, False): 80}
+    again = selection.stratified_split(rows.repartition(7), "label", ["id"])
+    assert sorted(split.collect()) == sorted(again.select(split.columns).collect())
+    other = selection.stratified_split(rows, "label", ["id"], seed=7)
+    assert sorted(split.collect()) != sorted(other.collect())
+
+
+@pytest.mark.parametrize("quota", [0, 1, 13, 899, 900, 5000])
+def test_lowest_rows_are_chosen(rows, quota):
+    marked = selection.mark_lowest(rows, ["label"], ["id"], F.lit(quota), "yes")
+    hashed = marked.where("label = 0").withColumn("h", F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(""))))
+    found = hashed.orderBy("h").collect()
+    assert [r.yes for r in found] == [True] * min(quota, 900) + [False] * max(0, 900 - quota)
+
+
+@pytest.mark.parametrize("positives,negatives,factor", [(7, 100, 5), (30, 100, 5), (100, 30, 5), (3, 3, 5), (0, 9, 5), (9, 0, 5)])
+def test_oversample_total(spark, positives, negatives, factor):
+    total = positives + negatives
+    df = spark.range(total).select("id", (F.col("id") < positives).cast("int").alias("label"))
+    grown = selection.oversample(df, "label", ["id"], factor)
+    counts = {r.label: r["count"] for r in grown.groupBy("label").count().collect()}
+    wanted = min(negatives, positives * factor) if positives and negatives else positives
+    assert counts == {k: v for k, v in {0: negatives, 1: wanted}.items() if v}
+    if positives and wanted:
+        copies = [r["count"] for r in grown.where("label = 1").groupBy("id").count().collect()]
+        assert max(copies) <= math.ceil(wanted / positives) and max(copies) - min(copies) <= 1
