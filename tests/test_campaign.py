@@ -1,0 +1,91 @@
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from capacast.plans import campaign
+from capacast.sources import schemas, tables
+from tests.test_layers import as_of, opportunities
+
+EVENT = campaign.Campaign("EVT-1", "Cup final", "2024-09-15", "Main field", "PROP-USMNT-")
+
+
+def target(spark, **changes):
+    base = opportunities(spark).where("customer_id = 'C1'")
+    return base.withColumns({k: F.lit(v) for k, v in {"customer_id": "BC-ESPN-001", **changes}.items()})
+
+
+def test_target_cut_is_inclusive(spark):
+    rows = spark.createDataFrame([(.65,), (.6499,), (.9,)], "conversion_score double")
+    assert campaign.select_targets(rows).count() == 2
+    assert campaign.select_targets(rows, strict=True).count() == 1
+
+
+def test_burst_slice(spark):
+    row = campaign.burst_slices(target(spark), as_of()).head()
+    assert row.slice_id == "BURST-C1276C7E1B3764EF5863F5B008D36A3E"
+    assert (row.contracted_bandwidth_mbps, row.current_bandwidth_mbps, row.revenue_per_hour) == (250.0, 150.0, 2.0)
+    assert (row.slice_type, row.utilization_pct, row.status) == ("broadcaster_burst", 60.0, "active")
+    assert row.expires_timestamp == datetime(2024, 9, 15, 16)
+
+
+def test_proposal(spark):
+    sent = campaign.proposals(target(spark, utilization_pct=93.6), as_of(), EVENT.proposal_prefix)
+    row = sent.head()
+    assert sent.columns == schemas.names(schemas.PROPOSALS)
+    assert row.proposal_id == "PROP-USMNT-C1276C7E"
+    assert row.proposal_message == (
+        "ALERT: Company C1 is at 94.0% of contracted bandwidth on tower A. Expand by 50% (250.0 Mbps) "
+        "for $2000.0/mo. Activate in 30 seconds.")
+    assert row.annual_upsell_contribution == (24000.0 if row.accepted else 0.0)
+
+
+def test_draws_are_repeatable_and_near_the_rate(spark):
+    rows = spark.range(4000).select(
+        F.concat(F.lit("C"), F.col("id").cast("string")).alias("customer_id"),
+        F.lit("public_safety").alias("customer_type"), F.lit(10.0).alias("monthly_revenue_opportunity"))
+    first = campaign.decide(rows).where("accepted").count()
+    assert first == campaign.decide(rows.repartition(9)).where("accepted").count()
+    assert abs(first / 4000 - 0.5) < 0.03
+
+
+def test_summary(spark):
+    rows = [(True, 100.0, 1200.0, .1501, 50.0, 101.0), (False, 300.0, 0.0, .15, 70.0, 100.0)]
+    log = spark.createDataFrame(
+        rows, "accepted boolean, monthly_revenue_opportunity double, annual_upsell_contribution double, "
+              "churn_risk_score double, monthly_contract_value double, utilization_pct double")
+    assert tuple(campaign.campaign_summary(log).head()) == (2, 1, .5, 100.0, 1200.0, 600.0, 1)
+    empty = campaign.campaign_summary(log.limit(0)).head()
+    assert (empty.total_targeted, empty.acceptance_rate) == (0, None)
+
+
+def test_rerun_adds_nothing(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("slices", "log", "summary")]
+    found = opportunities(spark)
+    counts = []
+    for _ in range(2):
+        campaign.run(found, EVENT, as_of(), *paths)
+        counts.append([spark.read.parquet(p).count() for p in paths])
+    assert counts[0] == counts[1] == [2, 2, 1]
+    row = spark.read.parquet(paths[2]).head()
+    assert (row.event_id, row.b2b_customers_targeted, row.burst_slices_provisioned) == ("EVT-1", 2, 2)
+    # Another event proposes to the same accounts again, and its summary counts its own rows only.
+    other = campaign.Campaign("EVT-2", "Concert", "2024-10-01", "Main field", "PROP-OCT-")
+    campaign.run(found, other, as_of(), *paths)
+    assert spark.read.parquet(paths[1]).count() == 4
+    assert spark.read.parquet(paths[2]).head().b2b_customers_targeted == 2
+
+
+def test_catalog_tables(spark):
+    tables.create_if_missing(spark, "proposal_log", schemas.schema(schemas.PROPOSALS))
+    tables.create_if_missing(spark, "proposal_log", schemas.schema(schemas.PROPOSALS))
+    sent = campaign.proposals(campaign.select_targets(opportunities(spark)), as_of(), "P-")
+    shuffled = sent.select(*reversed(sent.columns))
+    for _ in range(2):
+        tables.insert_new(shuffled, "proposal_log", ["proposal_id"])
+    stored = spark.table("proposal_log")
+    assert stored.count() == 2 and stored.schema["sent_at"].dataType.typeName() == "timestamp"
+    assert {r.customer_id for r in stored.collect()} == {"C1", "C2"}
+    tables.create_if_missing(spark, "event_summary", schemas.schema(schemas.EVENT_SUMMARY))
+    for _ in range(2):
+        tables.insert(campaign.event_summary(stored, EVENT, as_of()), "event_summary", overwrite_all=True)
+    assert spark.table("event_summary").count() == 1
