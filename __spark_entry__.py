@@ -115,13 +115,11 @@ class Tables:
         return learning.feature_table(
             labelled, learning.ACCOUNT_FEATURES, learning.ACCOUNT_LABEL, ["customer_id"])
 
-    def stream(self, name: str) -> DataFrame:
-        schema = tables.load(self.spark, name, self.folder).schema
-        # A stream's path is a folder or a pattern; this one matches the table only.
-        return tables.stream(self.spark, f"{self.folder}/{{{name}}}.parquet", schema)
-
     def telemetry_stream(self) -> DataFrame:
-        return bindings.telemetry_from(self.stream("events"))
+        return bindings.telemetry_from(bindings.source_stream(self.spark, "events", self.folder))
+
+    def account_stream(self) -> DataFrame:
+        return bindings.accounts_from(bindings.source_stream(self.spark, "customer", self.folder))
 
 
 SITE_WINDOW = ["tower_id", "window_start"]
@@ -223,7 +221,7 @@ def recent_window(t: Tables) -> DataFrame:
 def coerce_default(t: Tables) -> DataFrame:
     turn = F.col("event_id") % 3
     raw = F.when(turn == 0, F.col("props")).when(turn == 1, F.col("value").cast("string"))
-    return tables.load(t.spark, "events", t.folder).select(
+    return bindings.source(t.spark, "events", t.folder).select(
         "event_id", scalars.number_or(raw).alias("number"), scalars.number_or(raw, -1).alias("number_or_minus_one"))
 
 
@@ -380,8 +378,7 @@ def stream_clean(t: Tables) -> DataFrame:
 
 
 def stream_enrich(t: Tables) -> DataFrame:
-    accounts = bindings.accounts_from(t.stream("customer"))
-    return jobs.run_fresh(jobs.enrich_stream(accounts), "enriched")
+    return jobs.run_fresh(jobs.enrich_stream(t.account_stream()), "enriched")
 
 
 def stream_tumbling(t: Tables) -> DataFrame:
@@ -418,8 +415,7 @@ def layer_refresh(t: Tables) -> DataFrame:
     folder = session.scratch(t.spark, "layers")
     settings = refresh.Settings(window_seconds=DAY, score_cut=SCORE_CUT, rollup_time="window_start")
     for _ in range(2):
-        streams = {"telemetry": t.telemetry_stream(),
-                   "accounts": bindings.accounts_from(t.stream("customer"))}
+        streams = {"telemetry": t.telemetry_stream(), "accounts": t.account_stream()}
         written = refresh.refresh(folder, streams, t.telemetry, t.calendar, t.slices, at(AS_OF), settings)
     return written[refresh.REVENUE]
 

@@ -14,15 +14,19 @@ from ..operators.rows import conform
 
 
 def load(spark: SparkSession, name: str, folder: str | None = None,
-         schema: StructType | None = None) -> DataFrame:
-    """A catalog table, or ``<folder>/<name>.parquet`` when a folder is given."""
+         schema: StructType | str | None = None) -> DataFrame:
+    """A catalog table, or ``<folder>/<name>.parquet`` when a folder is given.
+
+    Give the schema when it is known: inferring it reads file footers first.
+    """
     if folder is None:
         return spark.table(name)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
-def stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+def stream(spark: SparkSession, path: str, schema: StructType | str,
+           files_per_batch: int | None = None) -> DataFrame:
     """Incremental scan of the Parquet files below ``path``."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
