@@ -309,9 +309,8 @@ def append_idempotent(t: Tables) -> DataFrame:
 # --- aggregates -----------------------------------------------------------------------------
 
 def distinct_counts(t: Tables) -> DataFrame:
-    accounts = t.opportunities.agg(F.count_distinct("customer_id").alias("n")).scalar()
-    return t.telemetry.agg(F.count_distinct("tower_id").alias("active_towers")).withColumn(
-        "accounts_at_risk", accounts)
+    accounts = serving.distinct_count(t.opportunities, "customer_id", "accounts_at_risk").scalar()
+    return serving.distinct_count(t.telemetry, "tower_id", "active_towers").withColumn("accounts_at_risk", accounts)
 
 
 def filtered_counts(t: Tables) -> DataFrame:
@@ -333,7 +332,7 @@ def lag_trend(t: Tables) -> DataFrame:
         t.cleaned.select("tower_id", "timestamp", "bandwidth_utilization_pct", "active_connections"),
         ["tower_id"], "timestamp",
         {"change": ("bandwidth_utilization_pct", 2), "connection_change": ("active_connections", 1)},
-        chunk_seconds=layers.WINDOW_SECONDS)
+        chunk_seconds=HOUR)
     return changed.select(
         "tower_id", "timestamp", "change", F.col("connection_change").cast("double").alias("connection_change"))
 

@@ -71,25 +71,19 @@ def _subtract(df, previous, changes):
 
 
 def _chunked_change(df, keys, time, changes, chunk_seconds):
-    chunked = df.withColumn("_chunk", time_bucket(F.col(time), chunk_seconds))
     part = [*keys, "_chunk"]
     values = sorted({value for value, _ in changes.values()})
+    chunked = df.withColumn("_chunk", time_bucket(F.col(time), chunk_seconds))
 
+    # The last row of each chunk is repeated in the key's next chunk, where it
+    # only serves as the previous row.  One row per chunk is sorted per key.
+    tails = chunked.groupBy(*part).agg(
+        F.max(time).alias(time), *[F.max_by(v, time).alias(v) for v in values])
+    following = F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
+    carried = tails.withColumn("_chunk", following).where("_chunk IS NOT NULL")
+
+    rows = chunked.withColumn("_carried", F.lit(False)).unionByName(
+        carried.withColumn("_carried", F.lit(True)), allowMissingColumns=True)
     inside = Window.partitionBy(*part).orderBy(time)
-    rows = chunked.withColumns({
-        "_first": F.row_number().over(inside) == 1,
-        **{f"_lag_{v}": F.lag(v).over(inside) for v in values},
-    })
-
-    # One row per key and chunk; only these are sorted per key.
-    tails = chunked.groupBy(*part).agg(*[F.max_by(v, time).alias(f"_tail_{v}") for v in values])
-    over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
-    carried = tails.select(*part, *[F.lag(f"_tail_{v}").over(over_chunks).alias(f"_carry_{v}") for v in values])
-
-    joined = rows.join(carried, part, "left")
-    previous = {
-        out: F.when(F.col("_first"), F.col(f"_carry_{value}")).otherwise(F.col(f"_lag_{value}"))
-        for out, (value, _) in changes.items()
-    }
-    helpers = ["_chunk", "_first", *[f"_lag_{v}" for v in values], *[f"_carry_{v}" for v in values]]
-    return _subtract(joined, previous, changes).drop(*helpers)
+    previous = {out: F.lag(value).over(inside) for out, (value, _) in changes.items()}
+    return _subtract(rows, previous, changes).where(~F.col("_carried")).drop("_chunk", "_carried")

@@ -48,6 +48,12 @@ def burst_count(slices: DataFrame, strict: bool = False) -> DataFrame:
     return slices.agg(F.count_if(running).alias("burst_slices"))
 
 
+def distinct_count(df: DataFrame, column: str, out: str, approximate: bool = False) -> DataFrame:
+    """Number of distinct values; the approximate form keeps a small sketch per task."""
+    count = F.approx_count_distinct(column) if approximate else F.count_distinct(column)
+    return df.agg(count.alias(out))
+
+
 def latest_summary(summaries: DataFrame) -> DataFrame:
     return top_k(summaries, [F.desc("summary_generated_at"), F.asc("event_id")], 1)
 
@@ -63,10 +69,9 @@ def kpi_bundle(opportunities: DataFrame, telemetry: DataFrame, features: DataFra
         F.max("projected_upsell_arr_usd").alias("upsell_arr"),
         F.max("arr_protected_from_churn_usd").alias("arr_protected"))
     parts = [
-        opportunities.agg(F.count_distinct("customer_id").alias("accounts_at_risk")),
-        telemetry.agg(F.count_distinct("tower_id").alias("active_towers")),
-        features.where("congestion_predicted_15min = 1").agg(
-            F.count_distinct("tower_id").alias("towers_congested")),
+        distinct_count(opportunities, "customer_id", "accounts_at_risk"),
+        distinct_count(telemetry, "tower_id", "active_towers"),
+        distinct_count(features.where("congestion_predicted_15min = 1"), "tower_id", "towers_congested"),
         log.agg(F.count(F.lit(1)).alias("proposals_sent"), F.count_if("accepted").alias("proposals_accepted")),
         latest,
         burst_count(slices),

@@ -87,6 +87,11 @@ def test_feed_is_merged_by_time(spark):
     assert feed[0].message == "Congestion predicted on A — Peak BW 92% — Burst slice provisioned"
 
 
+def test_distinct_counts(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
+    assert [serving.distinct_count(df, "k", "n", approximate=a).head()[0] for a in (False, True)] == [2, 2]
+
+
 def test_burst_counts(spark):
     slices = table(spark, schemas.SLICES, [
         capacity("1", "C", "A", 60.0, slice_type="a_burst"), capacity("2", "C", "A", 60.0, slice_type="xburst"),
