@@ -32,6 +32,7 @@ ACCOUNT_LABEL = "will_convert"
 HIGH_SCORE = 0.7
 HIGH_RATE = 0.47
 LOW_RATE = 0.05
+OVERSAMPLE_FACTOR = 5
 SEED = 42
 
 
@@ -205,3 +206,39 @@ def class_report(scored: DataFrame, label: str, prediction: str) -> DataFrame:
         share(F.col("hits"), F.col("claims")).alias("precision"),
         share(F.col("hits"), F.col("support")).alias("recall"),
         share(F.col("hits") * 2, F.col("claims") + F.col("support")).alias("f1"), "support")
+
+
+def evaluate_and_store(model: PipelineModel, test: DataFrame, columns: Sequence[str], label: str,
+                       folder: str) -> dict[str, DataFrame]:
+    """Save the model, its scored test rows and its measures below ``folder``."""
+    save(model, f"{folder}/model")
+    score(model, test).write.mode("overwrite").parquet(f"{folder}/scored")
+    scored = test.sparkSession.read.parquet(f"{folder}/scored")
+    results = {
+        "metrics": classification_metrics(scored, label, "prediction", "score"),
+        "report": class_report(scored, label, "prediction"),
+        "importances": importances(test.sparkSession, model, columns),
+    }
+    for name, df in results.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return results
+
+
+def train_congestion(features: DataFrame, folder: str, **settings) -> dict[str, DataFrame]:
+    """Predicted congestion of a window from its features, by a forest."""
+    keys = ["tower_id", "window_start"]
+    columns, _ = available(features, CONGESTION_FEATURES)
+    table = feature_table(features, columns, CONGESTION_LABEL, keys)
+    train, test = train_and_test(table, CONGESTION_LABEL, keys, factor=OVERSAMPLE_FACTOR)
+    model = fit_forest(train, columns, CONGESTION_LABEL, **settings)
+    return evaluate_and_store(model, test, columns, CONGESTION_LABEL, folder)
+
+
+def train_accounts(opportunities: DataFrame, folder: str, **settings) -> dict[str, DataFrame]:
+    """Conversion of an account from its contract and its site, by boosted trees."""
+    labelled = simulated_label(opportunities)
+    columns, _ = available(labelled, ACCOUNT_FEATURES)
+    table = feature_table(labelled, columns, ACCOUNT_LABEL, ["customer_id"])
+    train, test = train_and_test(table, ACCOUNT_LABEL, ["customer_id"])
+    model = fit_boosted(train, columns, ACCOUNT_LABEL, **settings)
+    return evaluate_and_store(model, test, columns, ACCOUNT_LABEL, folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from functools import lru_cache
@@ -16,6 +17,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Open windows of many sites do not fit the default in-memory state store.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
@@ -45,6 +50,21 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="capacast-")
 
 
+def sizing(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a job over that much input.
+
+    Shuffle partitions aim at 256 MB each, with at least two per core; adaptive
+    execution merges the small ones.  Scan tasks grow with the input, up to 1 GB,
+    so that their number stays manageable.
+    """
+    partitions = max(2 * cores, math.ceil(input_bytes / (256 << 20)))
+    per_task = min(1 << 30, max(128 << 20, input_bytes // 200_000))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(per_task),
+    }
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 

@@ -6,7 +6,7 @@ from capacast.plans import campaign
 from capacast.sources import schemas, tables
 from tests.test_layers import as_of, opportunities
 
-EVENT = campaign.Campaign("EVT-1", "Cup final", "2024-09-15", "Main field", "PROP-USMNT-")
+EVENT = campaign.Campaign("EVT-1", "Cup final", "2024-09-15", "Main field", "PROP-CUP-")
 
 
 def target(spark, **changes):
@@ -32,7 +32,7 @@ def test_proposal(spark):
     sent = campaign.proposals(target(spark, utilization_pct=93.6), as_of(), EVENT.proposal_prefix)
     row = sent.head()
     assert sent.columns == schemas.names(schemas.PROPOSALS)
-    assert row.proposal_id == "PROP-USMNT-C1276C7E"
+    assert row.proposal_id == "PROP-CUP-C1276C7E"
     assert row.proposal_message == (
         "ALERT: Company C1 is at 94.0% of contracted bandwidth on tower A. Expand by 50% (250.0 Mbps) "
         "for $2000.0/mo. Activate in 30 seconds.")

@@ -5,6 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from capacast import session
 from capacast.functions import aggregates, geo, scalars, scores
 
 C = F.col
@@ -130,3 +131,9 @@ def test_distance(values):
     rows = [(47.6062, -122.3321), (47.5925, -122.3330), (47.6585, -122.3130), (47.6815, -122.2087)]
     miles = F.round(geo.distance_miles(F.lit(47.5952), F.lit(-122.3316), C("a"), C("b")), 3)
     assert values("a double, b double", rows, miles) == [.760, .198, 4.459, 8.268]
+
+
+def test_sizing_grows_with_the_input():
+    small, large = session.sizing(10 << 30, 32), session.sizing(100 << 40, 4000)
+    assert small == {"spark.sql.shuffle.partitions": "64", "spark.sql.files.maxPartitionBytes": str(128 << 20)}
+    assert large == {"spark.sql.shuffle.partitions": "409600", "spark.sql.files.maxPartitionBytes": str((100 << 40) // 200_000)}
