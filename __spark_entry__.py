@@ -25,6 +25,7 @@ HOUR = 3600
 SCORE_CUT = 40
 AS_OF = "2024-01-31 00:00:00"
 PREFIX = "PROP-CUP-"
+EVENT = campaign.Campaign("EVT-001", "Cup final", "2024-01-31", "Main venue", PREFIX)
 
 
 def at(text: str):
@@ -514,7 +515,9 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "congestion_features": lambda t: t.features,
     "revenue_rollup": lambda t: t.rollup,
     "site_summary": lambda t: serving.site_summary(t.features),
+    "site_summary_recent": lambda t: serving.site_summary(t.features, at("2024-01-30 12:00:00"), 2 * 24 * 60),
     "campaign_summary": lambda t: campaign.campaign_summary(t.log),
+    "event_summary": lambda t: campaign.event_summary(t.log, EVENT, at(AS_OF)),
     "distinct_counts": distinct_counts,
     "filtered_counts": filtered_counts,
     "kpi_bundle": kpi_bundle,
@@ -522,6 +525,7 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "segment_scores": lambda t: serving.segment_scores(t.rollup),
     "segment_scores_weighted": lambda t: serving.segment_scores(t.rollup, weighted=True),
     "time_step_replay": lambda t: serving.time_steps(t.telemetry),
+    "time_step_replay_prefix": lambda t: serving.time_steps(t.telemetry, prefix="LF-"),
     "congested_per_step": lambda t: serving.congested_per_step(serving.time_steps(t.telemetry)),
     "distinct_sites": lambda t: joins.distinct_sites(t.telemetry),
     "profile_counts": lambda t: reports.profile(t.accounts, "customer_type"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.aggregates import exact_mean, exact_sum, sum_if
-from ..functions.scalars import clamp, in_range_or_null, time_bucket
+from ..functions.scalars import clamp, in_range_or_null
 from ..operators.joins import distinct_sites, flag_keys, join_unique, proximity_join, sites_near
 from ..operators.ranking import change_from_previous, latest_per_key, top_per_key
 from ..operators.rows import require_not_null

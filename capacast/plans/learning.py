@@ -65,10 +65,10 @@ def simulated_label(opportunities: DataFrame, key: str = "customer_id", out: str
 
 
 def label_balance(df: DataFrame, label: str) -> DataFrame:
-    """Rows and share of each label value."""
-    total = df.agg(F.count(label)).scalar()
-    return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "share", F.round(F.col("rows") / total, 4))
+    """Rows and share of each label value; the total is taken over the few counts."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
+    total = F.sum("rows").over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn("share", F.round(F.col("rows") / total, 4))
 
 
 def train_and_test(table: DataFrame, label: str, keys: Sequence[str], test_share: float = 0.2,

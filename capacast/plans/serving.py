@@ -99,17 +99,20 @@ def newest_windows(features: DataFrame) -> DataFrame:
     return features.where(F.col("window_start") == newest)
 
 
-def time_steps(telemetry: DataFrame, steps: int = STEPS, flag_above: float = REPLAY_FLAG) -> DataFrame:
+def time_steps(telemetry: DataFrame, steps: int = STEPS, flag_above: float = REPLAY_FLAG,
+               prefix: str | None = None) -> DataFrame:
     """The covered time cut into equal half-open steps; one row per step and site.
 
-    Step bounds are whole seconds, rounded down, and the newest second lies
-    outside the last step.  Bounds enter the plan as scalar subqueries, so all
-    steps come from one scan after the bounds are known.
+    ``prefix`` restricts the sites shown, not the time covered.  Step bounds are
+    whole seconds, rounded down, and the newest second lies outside the last
+    step.  Bounds enter the plan as scalar subqueries, so all steps come from one
+    scan after the bounds are known.
     """
     second = F.unix_timestamp("timestamp")
     first = telemetry.agg(F.min(second)).scalar()
     last = telemetry.agg(F.max(second)).scalar()
-    bounded = telemetry.select(
+    shown = telemetry if prefix is None else telemetry.where(F.col("tower_id").startswith(prefix))
+    bounded = shown.select(
         "tower_id", "bandwidth_utilization_pct", "active_connections", "latency_ms",
         second.alias("_t"), first.alias("_from"), ((last - first) / F.lit(steps)).alias("_length"))
     guess = F.floor(F.try_divide(F.col("_t") - F.col("_from"), F.col("_length"))).cast("bigint")

@@ -435,6 +435,21 @@ SELECTS = {
     "site_summary": f"""SELECT count(DISTINCT tower_id) AS active_towers,
         sum(congestion_predicted_15min)::BIGINT AS congested_towers,
         {rnd('max(peak_bandwidth_util)', 1)} AS peak_bandwidth_pct FROM features""",
+    "site_summary_recent": f"""SELECT count(DISTINCT tower_id) AS active_towers,
+        sum(congestion_predicted_15min)::BIGINT AS congested_towers,
+        {rnd('max(peak_bandwidth_util)', 1)} AS peak_bandwidth_pct FROM features
+        WHERE window_start >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 2 DAY""",
+    "event_summary": f"""SELECT 'EVT-001' AS event_id, 'Cup final' AS event_name, DATE '2024-01-31' AS event_date,
+        'Main venue' AS venue_name, count(*) AS b2b_customers_targeted,
+        count(*) FILTER (accepted) AS b2b_customers_accepted,
+        {rnd(mean('accepted::INT'), 4)} AS acceptance_rate,
+        {rnd(money('CASE WHEN accepted THEN monthly_revenue_opportunity ELSE 0 END'), 2)}
+          AS immediate_monthly_upsell_usd,
+        {rnd(money('annual_upsell_contribution'), 2)} AS projected_upsell_arr_usd,
+        {rnd(money('CASE WHEN churn_risk_score > 0.15 THEN monthly_contract_value * 12 ELSE 0 END'), 2)}
+          AS arr_protected_from_churn_usd,
+        count(*) AS burst_slices_provisioned, (count(*) FILTER (utilization_pct > 100))::INT AS sla_violations,
+        {AS_OF} AS summary_generated_at FROM log""",
     "campaign_summary": f"""SELECT count(*) AS total_targeted, count(*) FILTER (accepted) AS total_accepted,
         {rnd(mean('accepted::INT'), 4)} AS acceptance_rate,
         {rnd(money('CASE WHEN accepted THEN monthly_revenue_opportunity ELSE 0 END'), 2)}
@@ -468,6 +483,7 @@ SELECTS = {
         sum(high_upsell_opportunities)::BIGINT AS high_upsell_opportunities,
         sum(total_customers_at_risk)::BIGINT AS total_customers_at_risk FROM rollup GROUP BY 1""",
     "time_step_replay": "SELECT * FROM replay",
+    "time_step_replay_prefix": "SELECT * FROM replay WHERE tower_id LIKE 'LF-%'",
     "congested_per_step": """SELECT step, count(*) AS active_towers,
         count(*) FILTER (congested) AS towers_congested FROM replay GROUP BY step""",
     "distinct_sites": "SELECT * FROM sites",

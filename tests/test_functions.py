@@ -136,4 +136,6 @@ def test_distance(values):
 def test_sizing_grows_with_the_input():
     small, large = session.sizing(10 << 30, 32), session.sizing(100 << 40, 4000)
     assert small == {"spark.sql.shuffle.partitions": "64", "spark.sql.files.maxPartitionBytes": str(128 << 20)}
-    assert large == {"spark.sql.shuffle.partitions": "409600", "spark.sql.files.maxPartitionBytes": str((100 << 40) // 200_000)}
+    assert large == {
+        "spark.sql.shuffle.partitions": "409600",
+        "spark.sql.files.maxPartitionBytes": str((100 << 40) // 200_000)}

@@ -66,7 +66,8 @@ def test_newest_row_needs_no_sort(stored):
 
 
 def test_near_sites_are_joined_after_the_distinct(spark, stored):
-    events = spark.createDataFrame([("E", 47.6, -122.3)], "event_id string, venue_latitude double, venue_longitude double")
+    events = spark.createDataFrame(
+        [("E", 47.6, -122.3)], "event_id string, venue_latitude double, venue_longitude double")
     text = plan(joins.sites_near(events, joins.distinct_sites(stored)))
     below = text[text.index("LeftSemi"):]
     assert "HashAggregate(keys=[tower_id" in below

@@ -1,6 +1,6 @@
 import math
 import random
-from datetime import datetime, timedelta, timezone
+from datetime import timedelta, timezone
 
 from pyspark.sql import functions as F
 
