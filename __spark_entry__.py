@@ -328,14 +328,10 @@ def kpi_bundle(t: Tables) -> DataFrame:
 # --- windows and ranking --------------------------------------------------------------------
 
 def lag_trend(t: Tables) -> DataFrame:
-    """Change between single readings; a site's history is cut into short chunks."""
-    changed = ranking.change_from_previous(
-        t.cleaned.select("tower_id", "timestamp", "bandwidth_utilization_pct", "active_connections"),
-        ["tower_id"], "timestamp",
-        {"change": ("bandwidth_utilization_pct", 2), "connection_change": ("active_connections", 1)},
-        chunk_seconds=HOUR)
-    return changed.select(
-        "tower_id", "timestamp", "change", F.col("connection_change").cast("double").alias("connection_change"))
+    """Trends over one-minute windows; a site's history is cut into days."""
+    minutes = layers.tumbling_features(t.cleaned, 60)
+    return layers.with_trends(minutes, chunk_seconds=DAY).select(
+        *SITE_WINDOW, "avg_bandwidth_util", "bandwidth_trend_15min", "connection_trend_15min")
 
 
 def window_trend(t: Tables) -> DataFrame:

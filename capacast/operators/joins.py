@@ -94,21 +94,25 @@ def _distance() -> Column:
         F.col("venue_latitude"), F.col("venue_longitude"), F.col("latitude"), F.col("longitude"))
 
 
+def _spread(near: DataFrame, located: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Split every cell into ``salts`` sub-cells, for cells that many sites crowd into."""
+    return (
+        near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
+        located.withColumn("_salt", F.pmod(F.xxhash64("tower_id"), F.lit(salts)).cast("int")),
+    )
+
+
 def proximity_join(events: DataFrame, sites: DataFrame, radius_miles: float = 5.0,
                    digits: int | None = 3, salts: int = 4) -> DataFrame:
     """Every (event, site) pair within the radius, with its distance.
 
     A site lies in one grid cell and an event lists the cells around it, so a
-    pair meets at most once.  Sites crowding one cell are spread over
-    ``salts`` sub-cells.  The radius is tested on the unrounded distance.
+    pair meets at most once.  The radius is tested on the unrounded distance.
     """
     size = radius_miles / geo.MILES_PER_DEGREE
-    near = _venue_cells(events, radius_miles, size).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = _site_cells(sites, size).withColumn(
-        "_salt", F.pmod(F.xxhash64("tower_id"), F.lit(salts)).cast("int"))
+    near, located = _spread(_venue_cells(events, radius_miles, size), _site_cells(sites, size), salts)
     pairs = (
-        spread.join(near, ["_row", "_col", "_salt"])
+        located.join(near, ["_row", "_col", "_salt"])
         .withColumn("distance_miles", _distance())
         .where(F.col("distance_miles") <= radius_miles)
         .drop("_row", "_col", "_salt")
@@ -116,22 +120,23 @@ def proximity_join(events: DataFrame, sites: DataFrame, radius_miles: float = 5.
     return pairs if digits is None else pairs.withColumn("distance_miles", F.round("distance_miles", digits))
 
 
-def sites_near(events: DataFrame, sites: DataFrame, radius_miles: float = 5.0) -> DataFrame:
+def sites_near(events: DataFrame, sites: DataFrame, radius_miles: float = 5.0, salts: int = 4) -> DataFrame:
     """Sites with at least one event within the radius, without listing the pairs.
 
     Only distinct venue places matter, and the semi join stops at the first hit.
     """
     size = radius_miles / geo.MILES_PER_DEGREE
     places = events.select("venue_latitude", "venue_longitude").distinct()
-    near = _venue_cells(places, radius_miles, size)
     # The cell is an aggregate result, so the optimizer keeps the semi join above
     # the aggregate; pushed below, it would test every telemetry row.
-    located = sites.groupBy("tower_id", "latitude", "longitude").agg(
+    unique = sites.groupBy("tower_id", "latitude", "longitude").agg(
         F.max(geo.cell(F.col("latitude"), size)).alias("_row"),
         F.max(geo.cell(F.col("longitude"), size)).alias("_col"))
-    hit = ((located["_row"] == near["_row"]) & (located["_col"] == near["_col"])
-           & (geo.distance_miles(near["venue_latitude"], near["venue_longitude"],
-                                 located["latitude"], located["longitude"]) <= radius_miles))
+    near, located = _spread(_venue_cells(places, radius_miles, size), unique, salts)
+    hit = geo.distance_miles(near["venue_latitude"], near["venue_longitude"],
+                             located["latitude"], located["longitude"]) <= radius_miles
+    for column in ("_row", "_col", "_salt"):
+        hit = hit & (located[column] == near[column])
     return located.join(near, hit, "left_semi").select("tower_id").distinct()
 
 

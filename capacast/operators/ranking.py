@@ -46,8 +46,8 @@ def change_from_previous(df: DataFrame, keys: Sequence[str], time: str,
                          chunk_seconds: int | None = None) -> DataFrame:
     """Add ``out = value - value of the row ``steps`` earlier``; first rows get 0.
 
-    ``changes`` maps the new column to (value column, digits).  Gaps in time are
-    ignored.  Without ``chunk_seconds`` all rows of a key are sorted in one
+    ``changes`` maps the new column to (value column, digits).  A key should have
+    one row per time, so combine copies first.  Gaps in time are ignored.  Without ``chunk_seconds`` all rows of a key are sorted in one
     task, which suits windowed features: a key has at most one row per window.
     With it, a key's history is cut into time chunks that are processed apart,
     and the last value of a chunk is carried to the next one, so that a key

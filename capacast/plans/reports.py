@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import exact_mean, exact_sum, sum_if
 from ..functions.scalars import burst_suffix, in_slice
+from ..operators.joins import join_unique
 from ..operators.ranking import latest_per_key, top_k
 from .campaign import select_targets
 from .layers import latest_flagged_window
@@ -143,7 +144,8 @@ def renewal_acceptance(log: DataFrame, accounts: DataFrame, months: int = 6, pea
     """Acceptance of accounts close to renewal with a high peak."""
     near = accounts.where(
         (F.col("contract_renewal_months") <= months) & (F.col("peak_event_utilization_pct") > peak))
-    return log.join(near.select("customer_id"), "customer_id").agg(
+    # One account may hold many proposals.
+    return join_unique(log, near.select("customer_id"), "customer_id", ["proposal_id"]).agg(
         F.count(F.lit(1)).alias("proposals"),
         F.round(exact_mean(F.col("accepted").cast("int")), 4).alias("acceptance_rate"))
 

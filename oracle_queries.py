@@ -289,6 +289,7 @@ PARTS = {
         coalesce({mean('bandwidth_utilization_pct')} > 70, false) AS congested
       FROM telemetry JOIN step_windows ON epoch(timestamp) >= a AND epoch(timestamp) < b
       GROUP BY step, tower_id""",
+    "minutes": windowed("cleaned", 60),
     "five": windowed("cleaned", 300),
     "hourly": windowed("cleaned", 3600),
     "closed": "SELECT * FROM hourly "
@@ -494,11 +495,7 @@ SELECTS = {
         count(DISTINCT customer_id) FILTER (utilization_pct >= 88) AS accounts_at_risk FROM slices GROUP BY 1""",
     "sla_breach_count": "SELECT count(*) FILTER (utilization_pct > 100) AS sla_breaches FROM opportunities",
     # Windows and ranking
-    "lag_trend": f"""SELECT tower_id, timestamp, {rnd('''coalesce(bandwidth_utilization_pct
-        - lag(bandwidth_utilization_pct) OVER (PARTITION BY tower_id ORDER BY timestamp), 0)''', 2)} AS change,
-        {rnd('''coalesce(active_connections
-        - lag(active_connections) OVER (PARTITION BY tower_id ORDER BY timestamp), 0)''', 1)} AS connection_change
-        FROM cleaned""",
+    "lag_trend": trended("minutes").replace("SELECT *,", "SELECT tower_id, window_start, avg_bandwidth_util,"),
     "window_trend": trended("five").replace("SELECT *,", "SELECT tower_id, window_start,"),
     "latest_per_key": """SELECT tower_id, timestamp, bandwidth_utilization_pct, congestion_score FROM cleaned
         QUALIFY row_number() OVER (PARTITION BY tower_id ORDER BY timestamp DESC) = 1""",
