@@ -129,11 +129,12 @@ def run(opportunities: DataFrame, event: Campaign, as_of: Column, slices_path: s
     """Provision and log for all targets, then rewrite the event's summary.
 
     Targets are computed and written once; slices, proposals and summary derive
-    from that copy.  Appends skip ids that exist, so a rerun adds no rows.
+    from that copy.  Appends skip proposals that exist and accounts whose burst
+    slice has not expired, so a rerun adds no rows and completes a broken run.
     """
     targets = materialise(select_targets(opportunities), "targets")
     slices = conform(burst_slices(targets, as_of), schemas.schema(schemas.SLICES))
-    tables.append_new(slices, slices_path, ["slice_id"])
+    tables.append_new(slices, slices_path, ["slice_id"], F.col("expires_timestamp") > as_of)
     sent = conform(proposals(targets, as_of, event.proposal_prefix), schemas.schema(schemas.PROPOSALS))
     tables.append_new(sent, log_path, ["proposal_id"])
     log = sent.sparkSession.read.schema(sent.schema).parquet(log_path)

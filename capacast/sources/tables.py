@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
@@ -74,13 +74,15 @@ def insert(df: DataFrame, table: str, overwrite_all: bool = False) -> None:
     conform(df, target).write.insertInto(table, overwrite=overwrite_all)
 
 
-def append_new(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
+def append_new(rows: DataFrame, path: str, keys: Sequence[str], among: Column | None = None) -> None:
     """Append the rows whose keys the target lacks, so a rerun adds nothing.
 
-    Only the key columns of the target are scanned.
+    Only the key columns of the target are scanned.  ``among`` narrows the
+    target rows that count as existing, such as those still running.
     """
     try:
-        existing = rows.sparkSession.read.parquet(path).select(*keys)
+        existing = rows.sparkSession.read.parquet(path)
+        existing = (existing if among is None else existing.where(among)).select(*keys)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise

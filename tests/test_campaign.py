@@ -2,6 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from capacast.operators import rows
 from capacast.plans import campaign
 from capacast.sources import schemas, tables
 from tests.test_layers import as_of, opportunities
@@ -15,9 +16,9 @@ def target(spark, **changes):
 
 
 def test_target_cut_is_inclusive(spark):
-    rows = spark.createDataFrame([(.65,), (.6499,), (.9,)], "conversion_score double")
-    assert campaign.select_targets(rows).count() == 2
-    assert campaign.select_targets(rows, strict=True).count() == 1
+    df = spark.createDataFrame([(.65,), (.6499,), (.9,)], "conversion_score double")
+    assert campaign.select_targets(df).count() == 2
+    assert campaign.select_targets(df, strict=True).count() == 1
 
 
 def test_burst_slice(spark):
@@ -68,13 +69,24 @@ def test_rerun_adds_nothing(spark, tmp_path):
     assert counts[0] == counts[1] == [2, 2, 1]
     row = spark.read.parquet(paths[2]).head()
     assert (row.event_id, row.b2b_customers_targeted, row.burst_slices_provisioned) == ("EVT-1", 2, 2)
-    # Another event proposes to the same accounts again, and its summary counts its own rows only.
+    # A later event serves the same accounts again, and its summary counts its own rows only.
     other = campaign.Campaign("EVT-2", "Concert", "2024-10-01", "Main field", "PROP-OCT-")
-    campaign.run(found, other, as_of(), *paths)
-    assert spark.read.parquet(paths[1]).count() == 4
+    campaign.run(found, other, F.lit("2024-10-01 20:00:00").cast("timestamp_ntz"), *paths)
+    assert [spark.read.parquet(p).count() for p in paths] == [4, 4, 1]
     assert spark.read.parquet(paths[2]).head().b2b_customers_targeted == 2
 
 
+def test_rerun_completes_a_broken_run(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("slices", "log", "summary")]
+    found = opportunities(spark)
+    done = campaign.burst_slices(campaign.select_targets(found).where("customer_id = 'C1'"), as_of())
+    tables.append(rows.conform(done, schemas.schema(schemas.SLICES)), paths[0])
+    campaign.run(found, EVENT, as_of(), *paths)
+    stored = spark.read.parquet(paths[0])
+    assert stored.count() == stored.select("slice_id").distinct().count() == 2
+    assert spark.read.parquet(paths[1]).count() == 2
+
+
 def test_catalog_tables(spark):
     tables.create_if_missing(spark, "proposal_log", schemas.schema(schemas.PROPOSALS))
     tables.create_if_missing(spark, "proposal_log", schemas.schema(schemas.PROPOSALS))
