@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,11 +43,6 @@ def build(app: str = "capacast", master: str | None = None, shuffle_partitions:
     return configure(builder.getOrCreate())
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="capacast-")
-
-
 def sizing(input_bytes: int, cores: int) -> dict[str, str]:
     """Settings for a job over that much input.
 
@@ -66,17 +59,13 @@ def sizing(input_bytes: int, cores: int) -> dict[str, str]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
+    """This application's folder below the one every executor can reach.
 
-    A machine-local folder is chosen only for a local master, where all tasks
-    run on this machine anyway.
+    That is ``spark.checkpoint.dir`` or, where it is not set, the warehouse.
+    All scratch tables of a run lie in one folder, so it can be expired as a whole.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_folder()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/capacast-{spark.sparkContext.applicationId}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
