@@ -20,6 +20,14 @@ from capacast.plans import campaign, layers, learning, refresh, reports, serving
 from capacast.sources import bindings, schemas, tables  # noqa: E402
 from capacast.streaming import jobs  # noqa: E402
 
+try:  # the training-data operators are an optional part
+    import corpus_pipeline  # noqa: E402
+    from capacast.llm import queries as llm  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "capacast.llm"):
+        raise
+    llm = None
+
 DAY = 86400
 HOUR = 3600
 SCORE_CUT = 40
@@ -589,9 +597,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One callable (spark, folder) per operator."""
     def bind(job):
         return lambda spark, folder: job(Tables(spark, folder))
-    return {name: bind(job) for name, job in REGISTRY.items()}
+    found = {name: bind(job) for name, job in REGISTRY.items()}
+    return found | llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else found
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL; iterative and provisioning jobs have none."""
-    return oracle_queries.statements()
+    found = oracle_queries.statements()
+    return found | llm.ORACLE_SQL if llm else found
