@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capacast import session
-from capacast.llm import simhash, substrings
+from capacast.llm import licences, mixing, simhash, substrings
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,14 +23,27 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op5_licence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.recognise(table(spark, folder, "documents"))
+
+
 def op7_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.poisson_mix(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_licence_rules": op5_licence_rules,
     "op7_simhash_components": op7_simhash_components,
+    "op10_poisson_mix": op10_poisson_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_licence_rules": licences.oracle_sql(),
+    "op10_poisson_mix": mixing.oracle_sql(),
+}
