@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capacast import session
-from capacast.llm import licences, mixing, simhash, substrings
+from capacast.llm import licences, mixing, simhash, substrings, templates
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return session.configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op2_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     cut = substrings.without_repeats(docs)
@@ -37,6 +41,7 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_template_leaks": op2_template_leaks,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_licence_rules": op5_licence_rules,
     "op7_simhash_components": op7_simhash_components,
