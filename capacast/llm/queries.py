@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capacast import session
-from capacast.llm import licences, mixing, simhash, substrings, templates
+from capacast.llm import licences, mixing, simhash, substrings, templates, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op5_licence_rules(spark: SparkSession, folder: str) -> DataFrame:
     return licences.recognise(table(spark, folder, "documents"))
 
 
+def op6_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 def op7_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_template_leaks": op2_template_leaks,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_licence_rules": op5_licence_rules,
+    "op6_compression_toxicity": op6_compression_toxicity,
     "op7_simhash_components": op7_simhash_components,
     "op10_poisson_mix": op10_poisson_mix,
 }
