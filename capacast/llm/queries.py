@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capacast import session
-from capacast.llm import licences, mixing, simhash, substrings, templates, toxicity
+from capacast.llm import licences, linecrf, mixing, simhash, substrings, templates, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return session.configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return linecrf.judge(docs, linecrf.fit(docs, table(spark, folder, "labels")))
+
+
 def op2_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return templates.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
@@ -46,6 +51,7 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_crf": op1_line_crf,
     "op2_template_leaks": op2_template_leaks,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_licence_rules": op5_licence_rules,
