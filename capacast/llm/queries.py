@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capacast import session
-from capacast.llm import gam, licences, linecrf, mixing, simhash, substrings, templates, toxicity
+from capacast.llm import gam, language, licences, linecrf, mixing, simhash, substrings, templates, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,16 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op4_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and pages together.  Pages have ids of their own: they appear as -1 - page_id in doc_id."""
+    docs, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
+    rows = language.from_documents(docs).unionByName(
+        language.from_pages(pages).withColumn("id", -1 - F.col("id")))
+    found = language.identify(rows, language.fit(rows))
+    return found.withColumnRenamed("id", "doc_id").withColumn(
+        "page_id", F.when(F.col("doc_id") < 0, -1 - F.col("doc_id")))
+
+
 def op5_licence_rules(spark: SparkSession, folder: str) -> DataFrame:
     return licences.recognise(table(spark, folder, "documents"))
 
@@ -59,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
     "op2_template_leaks": op2_template_leaks,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_language_fusion": op4_language_fusion,
     "op5_licence_rules": op5_licence_rules,
     "op6_compression_toxicity": op6_compression_toxicity,
     "op7_simhash_components": op7_simhash_components,
