@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capacast import session
-from capacast.llm import gam, language, licences, linecrf, mixing, simhash, substrings, templates, toxicity
+from capacast.llm import gam, language, licences, linecrf, mixing, roles, simhash, substrings, templates, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op7_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_role_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return roles.repair(table(spark, folder, "conversations"))
+
+
 def op9_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return gam.score(docs, gam.fit(docs, table(spark, folder, "labels")))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_licence_rules": op5_licence_rules,
     "op6_compression_toxicity": op6_compression_toxicity,
     "op7_simhash_components": op7_simhash_components,
+    "op8_role_repair": op8_role_repair,
     "op9_additive_quality": op9_additive_quality,
     "op10_poisson_mix": op10_poisson_mix,
 }
