@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capacast import session
+from capacast.llm import ids
 from capacast.llm.words import gram_hashes, pieces, run_hashes, spans, word_hashes
 
 LENGTH = 20
@@ -172,8 +173,7 @@ def located(docs: DataFrame) -> DataFrame:
     numbered by their text's hash; rows with the same id and the same text share a number and so count as one document.
     """
     placed = docs.withColumn("place", F.coalesce("doc_id", F.lit(NO_ID)))
-    if placed.groupBy("place").agg(F.count(F.lit(1)).alias("rows")).where(
-            (F.col("rows") > 1) | (F.col("place") == NO_ID)).isEmpty():
+    if ids.plain(docs):
         return placed.withColumn("tag", F.lit(0))
     placed = placed.withColumn("text_hash", F.xxhash64("text"))
     numbered = placed.select("place", "text_hash").distinct().withColumn(

@@ -8,25 +8,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capacast import session
-from capacast.llm import simhash, substrings
+from capacast.llm import ids, language, mixing, simhash, substrings, templates
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told go: no letters, like no language, or no language likely enough.
+
+    Rows are told apart by id and text; of equal ones that differ in language or source only, all go if one does.
+    """
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+    rows = language.from_documents(docs.withColumn("doc_id", key))
+    found = language.identify(rows, language.fit(rows))
+    rejected = session.materialise(
+        found.where("not kept").select(F.col("id.doc_id").alias("id"), F.col("id.text_hash").alias("hash")).distinct(),
+        "rejected")
+    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.id) & (F.xxhash64(docs.text) == rejected.hash), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    classes = simhash.near_duplicates(docs)
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """One document of each group of near copies stays: the one with the smallest id, one row of it if it is repeated."""
+    if ids.plain(docs):
+        classes = simhash.near_duplicates(docs)
+        return docs.join(classes.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(
+            *docs.columns)
+    rows = ids.numbered(docs, "row_number")
+    classes = simhash.near_duplicates(rows, "row_number")
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("row_number"))
+    return rows.join(first, "row_number", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts; a document that holds nothing else goes."""
-    cut = substrings.without_repeats(docs).where("n_removed < n_words")
-    return cut.select(*[F.length("text").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    """Repeated passages are cut out of the texts; a document that consists of nothing else goes."""
+    cut = substrings.without_repeats(docs).where("n_removed = 0 or n_removed < n_words")
+    return cut.select(*[
+        F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema[c].dataType).alias(c)
+        if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a question of the benchmark go."""
+    return templates.decontaminated(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target weight asks for, in shuffled order."""
+    return mixing.poisson_mix(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
 ]
 
 ORACLE_SQL = None
