@@ -35,7 +35,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash bucket of every trigram with two letters or more, and the text that it is in."""
-    raw = b"  ".join(texts)
+    raw = b"".join(b" %b " % t for t in texts)
     folded = _FOLD[np.frombuffer(raw, np.uint8)].astype(np.uint32)
     if len(folded) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -4,9 +4,9 @@ A conversation is legal if an optional system turn is followed by user and assis
 assistant.  Dynamic programming over that automaton finds the cheapest way to make a conversation legal: turns are kept,
 merged into the turn before, given another role, or preceded by empty turns.
 
-Conversations may be of any length.  Sorted rows are cut into blocks; what a block costs from each state to each state is a
-small matrix, matrices of a conversation are chained to find the states between blocks, and the blocks are then traced back
-independently.  No task needs more than one block's turns.
+Conversations may be of any length.  They are cut into blocks of turns; what a block costs from each state to each state is
+a small matrix, the matrices of a conversation are chained to find the states between its blocks, and the blocks are then
+traced back independently.  No task needs more than one block's turns, or one small matrix for every block.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capacast import session
@@ -150,28 +150,41 @@ def _framed(before: int, after: int, action: str, gap: list[int], last: bool) ->
     return front, back
 
 
-def _numbered(turns: DataFrame, block: int) -> DataFrame:
-    """Rows in order, with the number of their partition, the number of their block in it and their place in that."""
+def _numbered(turns: DataFrame) -> DataFrame:
+    """Rows in order, with the number of their partition, their place in it, and their place among those rows of their
+    conversation that are in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        number, at, last, begun = -1, 0, None, False
+        row, at, last = 0, 0, None
         for batch in batches:
-            blocks, places = [], []
+            places = []
             for conversation in batch.column("conv_id").to_pylist():
-                if not begun or conversation != last or at + 1 == block:
-                    number, at, last, begun = number + 1, 0, conversation, True
-                else:
-                    at += 1
-                blocks.append(number)
+                at = at + 1 if row + len(places) and conversation == last else 0
+                last = conversation
                 places.append(at)
+            count = len(places)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), pa.array(places, pa.int32()),
-                 *batch.columns], ["part", "block", "at", *batch.schema.names])
+                [pa.array([part] * count, pa.int32()), pa.array(range(row, row + count), pa.int64()),
+                 pa.array(places, pa.int64()), *batch.columns], ["part", "row", "at", *batch.schema.names])
+            row += count
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in turns.schema.fields)
     order = ["conv_id", "turn", "role", F.xxhash64("text")]
     ordered = turns.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ordered.mapInArrow(run, f"part int, block bigint, at int, {fields}")
+    return ordered.mapInArrow(run, f"part int, row bigint, at bigint, {fields}")
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(conv_id, block, turns): the turns' roles in blocks of ``size``, which do not depend on the partitions."""
+    counts = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("conv_id").alias("of"), F.col("part").alias("in_part"),
+                           F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    placed = rows.select("part", "row", "at", "conv_id", "role").join(
+        before, (F.col("part") == F.col("in_part")) & F.col("conv_id").eqNullSafe(F.col("of")))
+    position = F.col("before") + F.col("at")
+    return placed.groupBy("conv_id", F.floor(position / size).alias("block")).agg(F.array_sort(F.collect_list(
+        F.struct(position.alias("position"), "part", "row", "role"))).alias("turns"))
 
 
 def repair(turns: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -187,61 +200,55 @@ def repair(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     ignored; an empty table gives no rows.
     """
     given = turns.select("conv_id", "turn", "role", "text")
-    rows = session.materialise(_numbered(given, block), "turns")
+    rows = session.materialise(_numbered(given), "turns")
     kind = rows.schema["conv_id"].dataType.simpleString()
-    blocks = session.materialise(rows.groupBy("part", "block").agg(
-        F.min("conv_id").alias("conv_id"),
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "role"))), lambda r: r["role"]).alias("roles")), "blocks")
+    blocks = session.materialise(_blocks(rows, block), "blocks")
 
     def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            roles = batch.column("roles").to_pylist()
+            found = [matrix([normal(t["role"]) for t in listed]) for listed in batch.column("turns").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([len(r) for r in roles], pa.int64()),
-                 pa.array([matrix([normal(x) for x in r]) for r in roles], pa.list_(pa.int64()))],
-                ["part", "block", "conv_id", "n", "matrix"])
+                [*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], ["conv_id", "block", "matrix"])
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            ways = []
             for parts in batch.column("parts").to_pylist():
-                through, offset = chain([p["matrix"] for p in parts]), 0
-                cost = 0
-                for p, (a, b) in zip(parts, through):
-                    cost += p["matrix"][4 * a + b]
-                total = (cost + closing(through[-1][1])[0]) // COST
-                for i, (p, (a, b)) in enumerate(zip(parts, through)):
-                    found.append((p["part"], p["block"], a, b, offset, i + 1 == len(parts), total))
-                    offset += p["n"]
-            columns = list(zip(*found)) if found else [()] * 7
+                through = chain([p["matrix"] for p in parts])
+                cost = sum(p["matrix"][4 * a + b] for p, (a, b) in zip(parts, through)) + closing(through[-1][1])[0]
+                ways.append([(p["block"], a, b, i + 1 == len(parts), cost // COST)
+                             for i, (p, (a, b)) in enumerate(zip(parts, through))])
+            kinds = pa.struct([("block", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("ends", pa.bool_()),
+                               ("cost", pa.int64())])
+            listed = [[dict(zip(("block", "first", "last", "ends", "cost"), w)) for w in way] for way in ways]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(),
-                                                          pa.bool_(), pa.int64()))],
-                ["part", "block", "first", "last", "before", "ends", "cost"])
+                [batch.column("conv_id"), pa.array(listed, pa.list_(kinds))], ["of", "ways"])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "row", "position", "new_role", "action", "inserted", "cost", "front", "back"]
+        types = [pa.int32(), pa.int64(), pa.int64(), *[pa.string()] * 3, pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            for row in batch.to_pylist():
-                path = trace([normal(x) for x in row["roles"]], row["first"], row["last"])
-                done = [(row["part"], row["block"], i, row["before"] + i + 1, STATES[b], action,
-                         ",".join(STATES[s] for s in gap), row["cost"],
-                         *_framed(a, b, action, gap, row["ends"] and i + 1 == len(path)))
-                        for i, (a, b, action, gap) in enumerate(path)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*done), (
-                        pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.string()] * 3, pa.int64(),
-                        pa.string(), pa.string()))],
-                    ["part", "block", "at", "position", "new_role", "action", "inserted", "cost", "front", "back"])
-
-    priced = blocks.mapInArrow(costs, f"part int, block bigint, conv_id {kind}, n bigint, matrix array<bigint>")
-    ways = priced.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("part", "block", "n", "matrix"))).alias("parts")).select("parts").mapInArrow(
-        states, "part int, block bigint, first int, last int, before bigint, ends boolean, cost bigint")
-    steps = blocks.select("part", "block", "roles").join(ways, ["part", "block"]).mapInArrow(
-        traced, "part int, block bigint, at int, position bigint, new_role string, action string, inserted string, "
-                "cost bigint, front string, back string")
+            done = []
+            for found in batch.to_pylist():
+                listed = found["turns"]
+                path = trace([normal(t["role"]) for t in listed], found["first"], found["last"])
+                for i, (t, (a, b, action, gap)) in enumerate(zip(listed, path)):
+                    done.append((t["part"], t["row"], t["position"] + 1, STATES[b], action,
+                                 ",".join(STATES[s] for s in gap), found["cost"],
+                                 *_framed(a, b, action, gap, found["ends"] and i + 1 == len(path))))
+            columns = zip(*done) if done else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    priced = blocks.mapInArrow(costs, f"conv_id {kind}, block bigint, matrix array<bigint>")
+    ways = priced.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "matrix"))).alias("parts"))
+    ways = ways.mapInArrow(states, f"of {kind}, ways array<struct<block: bigint, first: int, last: int, ends: boolean, "
+                                   "cost: bigint>>").select("of", F.explode("ways").alias("way"))
+    steps = blocks.join(ways, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("block") == F.col("way.block"))).select(
+        "turns", "way.first", "way.last", "way.ends", "way.cost").mapInArrow(
+        traced, "part int, row bigint, position bigint, new_role string, action string, inserted string, cost bigint, "
+                "front string, back string")
     safe = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
-    return rows.join(steps, ["part", "block", "at"]).select(
+    return rows.join(steps, ["part", "row"]).select(
         "conv_id", "position", "turn", "role", "new_role", "action", "inserted", "cost",
         F.concat("front", safe, "back").alias("piece"))
 

@@ -1,0 +1,71 @@
+import hashlib
+import random
+
+import pytest
+
+from capacast.llm import substrings
+from capacast.llm.queries import QUERIES
+
+from . import brute
+
+
+def test_query_equals_brute_force(spark):
+    rows = [tuple(r) for r in brute.sample_documents(spark).select("doc_id", "text").collect()]
+    wanted = {d: (n, n - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+              for d, (n, kept) in brute.kept_words(rows).items()}
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256)
+             for r in QUERIES["op3_substring_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    assert found == wanted
+    assert any(removed for _, removed, _ in wanted.values())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_few_words_many_repeats(spark, seed, monkeypatch):
+    """Texts over two or three words, so that anchors tie, runs overlap and one anchor has many spans."""
+    monkeypatch.setattr(substrings, "FLUSH", 40)
+    rng = random.Random(seed)
+    rows = [(i * 3, " ".join(rng.choice("ab" if seed % 2 else "abc") for _ in range(rng.randint(0, 40))))
+            for i in range(60)]
+    cut = substrings.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), length=6)
+    found = {r.doc_id: (r.n_words, r.text.split()) for r in cut.collect()}
+    assert found == brute.kept_words(rows, 6)
+    assert {r.doc_id: r.n_words - r.n_removed for r in cut.collect()} == {d: len(k) for d, (_, k) in found.items()}
+
+
+def test_a_passage_stays_where_it_comes_first(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(3, f"own start {passage} own end"), (1, f"first {passage}"), (2, f"{passage}\n{passage}"), (8, "short text")]
+    cut = substrings.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = {r.doc_id: (r.text, r.n_removed) for r in cut.collect()}
+    assert found == {1: (f"first {passage}", 0), 2: ("", 50), 3: ("own start own end", 25), 8: ("short text", 0)}
+
+
+def test_odd_rows(spark):
+    docs = brute.odd_documents(spark)
+    cut = substrings.without_repeats(docs)
+    assert cut.columns == [*docs.columns, "n_words", "n_removed"]
+    found = cut.collect()
+    assert len(found) == docs.count()
+    for row in found:
+        assert (row.text is None) == (row.n_words == 0 and row.text is None)
+        assert row.n_words == len(brute.words(row.text)) + row.n_removed
+    assert {r.n_words for r in found if r.doc_id == 5} == {30_000, 6}
+    assert substrings.without_repeats(brute.empty_documents(spark)).count() == 0
+
+
+def test_equal_ids_and_missing_ids(spark):
+    passage = " ".join(f"q{i}" for i in range(30))
+    rows = [(1, passage + " one"), (1, passage + " two"), (None, passage), (2, passage), (2, passage)]
+    cut = substrings.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    first = [r for r in cut if r.doc_id == 1]
+    assert sorted(r.n_removed for r in first) == [0, 30]
+    assert [r.n_removed for r in cut if r.doc_id != 1] == [30, 30, 30]
+
+
+def test_a_seed_for_every_run():
+    rng = random.Random(1)
+    import numpy as np
+    hashes = np.array([rng.randint(1, 50) for _ in range(500)], np.uint64)
+    found = substrings.seeds_of(hashes, 20)
+    covered = [s + i for s, n in zip(found["start"], found["runs"]) for i in range(n)]
+    assert covered == list(range(481))

@@ -1,0 +1,49 @@
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from capacast.llm import words
+from capacast.llm.textstats import stats
+
+from . import brute
+
+TEXT = st.text(alphabet="ab \n\t\x0b\x0c\r\x1c\x85 é#!.A", max_size=60)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXT, max_size=5))
+def test_counts_equal_plain_ones(texts):
+    found = stats([t.encode() for t in texts]).doc
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert list(zip(*[found[c].tolist() for c in columns])) == [brute.base_counts(t) for t in texts]
+
+
+@given(TEXT)
+def test_spans(text):
+    raw = text.encode()
+    assert [raw[a:b].decode() for a, b in zip(*words.spans(raw))] == brute.words(text)
+
+
+def test_equal_words_have_equal_hashes_wherever_they_are(monkeypatch):
+    monkeypatch.setattr(words, "PIECE", 64)
+    raw = b"alpha beta " * 50 + b"x" * 200 + b" alpha"
+    starts, ends = words.spans(raw)
+    hashes = words.word_hashes(raw, starts, ends)
+    assert hashes[0] == hashes[2] == hashes[-1] != hashes[1]
+    assert len(set(hashes.tolist())) == 3
+
+
+def test_grams_depend_on_order_and_length():
+    hashes = np.array([1, 2, 3, 1, 2, 3], np.uint64)
+    grams = words.gram_hashes(hashes, 3)
+    assert grams[0] == grams[3] != grams[1]
+    assert len(words.gram_hashes(hashes, 7)) == 0
+    assert words.gram_hashes(hashes[:2], 2)[0] != grams[0]
+
+
+def test_pieces_are_bounded_and_whole():
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2, 3, 4]), pa.array(["a" * 30, None, "b" * 80, "c"])], ["doc_id", "text"])
+    found = [(p.column(0).to_pylist(), t) for p, t in words.pieces([batch], limit=50)]
+    assert found == [([1, 2], [b"a" * 30, b""]), ([3], [b"b" * 80]), ([4], [b"c"])]
