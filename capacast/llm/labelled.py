@@ -23,7 +23,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remaind
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = usable.withColumn("place", F.row_number().over(order)).where(F.col("place") <= bound).select(
         F.col("doc_id").alias("labelled_id"), "label")
-    return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id")).select("text", "label")
+    return docs.select("doc_id", "text").join(
+        F.broadcast(picked), F.col("doc_id") == F.col("labelled_id")).select("text", "label")
 
 
 def logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 1.0, steps: int = 40) -> np.ndarray:

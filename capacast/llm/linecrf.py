@@ -82,9 +82,10 @@ def train(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 15
     Without lines of both labels the fixed starting weights stay.
     """
     model = Model()
-    sequences, labels = zip(*[(x, y) for x, y in zip(sequences, labels) if len(x)]) if sequences else ((), ())
-    if not sequences or len(np.unique(np.concatenate(labels))) < 2:
+    used = [(x, y) for x, y in zip(sequences, labels) if len(x)]
+    if len({int(label) for _, y in used for label in y}) < 2:
         return model
+    sequences, labels = zip(*used)
     order = np.argsort([-len(x) for x in sequences], kind="stable")
     lengths = np.array([len(sequences[i]) for i in order])
     steps_of = [int((lengths > t).sum()) for t in range(lengths[0])]

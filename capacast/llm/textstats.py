@@ -57,7 +57,7 @@ def stats(texts: list[bytes]) -> Stats:
     raw = b"".join(t + b"\n" for t in texts)
     count = len(texts)
     data = np.frombuffer(raw, np.uint8)
-    text_end = np.cumsum([len(t) + 1 for t in texts])
+    text_end = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
     line_end = np.flatnonzero(data == 10)
     line_start = np.concatenate([[0], line_end[:-1] + 1]) if len(line_end) else line_end
     starts, ends = spans(raw)

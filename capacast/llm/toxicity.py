@@ -25,10 +25,11 @@ THRESHOLD = 0.7
 SAMPLE = 4000
 GRAM = 6
 LEAST = 8
-PURITY = 50
+PURITY = 25
 DICTIONARY = 8192
 WINDOW = 52
-GAIN = 3
+GAIN, LARGE_GAIN = 3, 5
+FEATURES = 6
 # In front of every window and in both dictionaries, so that each window has a match and is never stored as it is;
 # behind it, as zstandard looks for no match in the last bytes.
 FRONT, BACK = bytes(range(128, 160)), bytes(range(1, 10))
@@ -129,9 +130,10 @@ class Distance:
         gains = self.gains(text)
         large = gains[gains >= GAIN]
         if not len(large):
-            return [0.0, 0.0, 0.0, 0.0]
+            return [0.0] * FEATURES
         return [float(large.max()), float(np.log1p(len(large))), float(np.log1p(large.sum())),
-                float(np.sqrt(len(large) / len(gains)))]
+                float(np.sqrt(len(large) / len(gains))), float(np.log1p((large >= LARGE_GAIN).sum())),
+                float(np.sqrt(large.sum() / len(gains)))]
 
 
 def train(texts: list[bytes], labels: list[int]) -> Model:
@@ -150,7 +152,7 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     ratio = len(stretches[1]) / max(1, len(stretches[0]))
     toxic = {g for g, n in grams[1].items() if n >= LEAST and grams[0][g] * ratio * PURITY < n}
     ordinary = {g for g, n in grams[0].items() if n * ratio >= LEAST and grams[1][g] * PURITY < n * ratio}
-    model = Model(_content(words[1], toxic), _content(words[0], ordinary), np.zeros(5))
+    model = Model(_content(words[1], toxic), _content(words[0], ordinary), np.zeros(FEATURES + 1))
     y = np.array(labels, float)
     if 0 < y.sum() < len(y):
         distance = Distance(model)
