@@ -83,6 +83,15 @@ class Tables:
     def opportunities(self) -> DataFrame:
         return layers.account_opportunities(self.enriched, self.slices, self.features, at(AS_OF), SCORE_CUT)
 
+    @cached_property
+    def features_5min(self) -> DataFrame:
+        """Features at the defaults of the job."""
+        return layers.congestion_features(self.cleaned, self.near_sites)
+
+    @cached_property
+    def opportunities_5min(self) -> DataFrame:
+        return layers.account_opportunities(self.enriched, self.slices, self.features_5min, at(AS_OF))
+
     @cached_property
     def rollup(self) -> DataFrame:
         return layers.revenue_rollup(self.opportunities, "window_start")
@@ -395,8 +404,10 @@ def stream_trend(t: Tables) -> DataFrame:
 
 
 def stream_latest(t: Tables) -> DataFrame:
-    landed = jobs.run_fresh(jobs.latest_stream(jobs.clean_stream(t.telemetry_stream()), HOUR), "latest")
-    return naive_times(jobs.latest_from_closed(landed))
+    """Closed windows from the state stream, open ones from the landed readings."""
+    closed = naive_times(jobs.run_fresh(jobs.latest_stream(jobs.clean_stream(t.telemetry_stream()), HOUR), "latest"))
+    readings = jobs.run_fresh(jobs.clean_stream(t.telemetry_stream()), "readings")
+    return jobs.current_state(closed, readings, HOUR)
 
 
 def stream_provision(t: Tables) -> DataFrame:
@@ -517,6 +528,8 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "append_idempotent": append_idempotent,
     "tumbling_features": lambda t: layers.tumbling_features(t.cleaned),
     "congestion_features": lambda t: t.features,
+    "congestion_features_5min": lambda t: t.features_5min,
+    "account_opportunities_5min": lambda t: t.opportunities_5min,
     "revenue_rollup": lambda t: t.rollup,
     "site_summary": lambda t: serving.site_summary(t.features),
     "site_summary_recent": lambda t: serving.site_summary(t.features, at("2024-01-30 12:00:00"), 2 * 24 * 60),

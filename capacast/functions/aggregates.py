@@ -1,7 +1,7 @@
 """Aggregate expressions whose result does not depend on the order of rows.
 
 A plain ``avg`` of doubles adds in whatever order tasks finish, so a value near
-a rounding boundary may differ from run to run.  Sums of whole numbers do not.
+a rounding boundary may differ from run to run.  Sums of decimals do not.
 """
 
 from __future__ import annotations
@@ -9,22 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WIDE = "decimal(38,18)"
 
-def exact_mean(column: Column, digits: int = 6) -> Column:
-    """Mean of the values kept to ``digits`` decimals, from a BIGINT sum.
 
-    BIGINT buffers keep the partial aggregate in generated code.  Values that
-    are not finite are left out.
+def _odd(column: Column) -> Column:
+    """Whether a value is NaN or infinite."""
+    number = column.cast("double")
+    return F.isnan(number) | (F.abs(number) == float("inf"))
+
+
+def exact_sum(column: Column) -> Column:
+    """Sum as a double, added up with 18 decimals.
+
+    NaN and infinity propagate as in ``sum``; null is left out.  A value or a sum
+    of 1e20 or more does not fit, and fails the job rather than going missing.
     """
-    units = F.rint(column * F.lit(float(10 ** digits))).try_cast("bigint")
-    return F.try_divide(F.sum(units) / F.lit(float(10 ** digits)), F.count(units))
+    odd = F.sum(F.when(_odd(column), column.cast("double")))
+    return F.coalesce(odd, F.sum(F.when(~_odd(column), column).cast(WIDE)).cast("double"))
 
 
-def exact_sum(column: Column, digits: int = 4) -> Column:
-    """Sum of money-like values kept to ``digits`` decimals, as a double."""
-    return F.sum(column.try_cast(f"decimal(22,{digits})")).cast("double")
+def exact_mean(column: Column) -> Column:
+    """Mean as a double, from ``exact_sum``; null when there is no value."""
+    return F.try_divide(exact_sum(column), F.count(column))
 
 
-def sum_if(condition: Column, column: Column, digits: int = 4) -> Column:
+def sum_if(condition: Column, column: Column) -> Column:
     """Conditional sum; rows that do not match count as zero."""
-    return exact_sum(F.when(condition, column).otherwise(F.lit(0.0)), digits)
+    return exact_sum(F.when(condition, column).otherwise(F.lit(0.0)))

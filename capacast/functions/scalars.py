@@ -83,8 +83,9 @@ def hash_unit(column: Column, salt: str = "") -> Column:
 
 
 def time_bucket(column: Column, seconds: int) -> Column:
-    """Start of the epoch-aligned bucket holding the time; keeps the time type."""
-    return F.window(column, f"{seconds} seconds").getField("start")
+    """Start of the epoch-aligned bucket holding the time; keeps the time type, null stays null."""
+    inside = F.pmod(F.unix_micros(column.cast("timestamp")), F.lit(seconds * 1_000_000))
+    return column - F.make_dt_interval(secs=(inside / F.lit(1_000_000).cast("decimal(18,6)")).cast("decimal(18,6)"))
 
 
 def with_prefix(column: Column, prefix: str) -> Column:

@@ -8,11 +8,13 @@ otherwise.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .ranking import top_per_key
 from .rows import require_not_null
 
 SALTS = 16
@@ -149,10 +151,19 @@ def backfill(dimension: DataFrame, facts: DataFrame, key: str, defaults: Mapping
 def new_rows_only(rows: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys are not in ``existing`` yet, one per key.
 
-    ``existing`` may be far larger than ``rows``: it is first reduced to the keys
-    in question, which needs no shuffle of it when those are few.
+    Of rows with equal keys the first in the order of all their columns stays, so
+    a rerun takes the same one.  ``existing`` may be far larger than ``rows``: it
+    is first reduced to the keys in question, which needs no shuffle of it when
+    those are few.
     """
     keys = list(keys)
-    fresh = rows.dropDuplicates(keys)
+    fresh = top_per_key(rows, keys, [F.asc(c) for c in rows.columns])
     known = existing.select(*keys).join(fresh.select(*keys), keys, "left_semi").distinct()
     return fresh.join(known, keys, "left_anti")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_of_{k}" for k in keys])

@@ -22,18 +22,20 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str] = ()) -> DataFrame:
-    return top_per_key(df, keys, [F.desc(time), *[F.asc(c) for c in tiebreak]])
+    """The newest row of each key; equal times are settled by ``tiebreak``, then by the other columns in their order."""
+    rest = [c for c in df.columns if c not in (*keys, time, *tiebreak)]
+    return top_per_key(df, keys, [F.desc(time), *[F.asc(c) for c in (*tiebreak, *rest)]])
 
 
 def newest_values(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str]) -> DataFrame:
     """The named columns of the newest row of each key, as a plain aggregate.
 
-    With numbers, flags and times the aggregate runs in hash tables without any
-    sort, and each task sends one row per key.  All columns come from the same
-    row; when two rows share the newest time it is one of them.
+    Each task sends one row per key.  All columns come from the same row; of rows
+    that share the newest time it is the greatest in the order of the columns, so
+    the result does not depend on the order of the rows.
     """
-    return df.groupBy(*keys).agg(
-        F.max(time).alias(time), *[F.max_by(c, time).alias(c) for c in columns])
+    newest = F.max(F.struct(time, *columns)).alias("_newest")
+    return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_newest.{c}").alias(c) for c in (time, *columns)])
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -50,16 +52,15 @@ def change_from_previous(df: DataFrame, keys: Sequence[str], time: str,
     one row per time, so combine copies first.  Gaps in time are ignored.  Without ``chunk_seconds`` all rows of a key are sorted in one
     task, which suits windowed features: a key has at most one row per window.
     With it, a key's history is cut into time chunks that are processed apart,
-    and the last value of a chunk is carried to the next one, so that a key
-    holding a large part of all rows is spread over many tasks.
+    and the last ``steps`` rows before a chunk are carried into it, so that a key
+    holding a large part of all rows is spread over many tasks.  Rows and values
+    are the same in both forms; rows without a time come first.
     """
     if chunk_seconds is None:
         by_key = Window.partitionBy(*keys).orderBy(time)
         previous = {out: F.lag(value, steps).over(by_key) for out, (value, _) in changes.items()}
         return _subtract(df, previous, changes)
-    if steps != 1:
-        raise ValueError("the chunked form compares with the row directly before")
-    return _chunked_change(df, keys, time, changes, chunk_seconds)
+    return _chunked_change(df, keys, time, changes, steps, chunk_seconds)
 
 
 def _subtract(df, previous, changes):
@@ -70,20 +71,25 @@ def _subtract(df, previous, changes):
     return df.withColumns(columns)
 
 
-def _chunked_change(df, keys, time, changes, chunk_seconds):
+def _chunked_change(df, keys, time, changes, steps, chunk_seconds):
     part = [*keys, "_chunk"]
     values = sorted({value for value, _ in changes.values()})
     chunked = df.withColumn("_chunk", time_bucket(F.col(time), chunk_seconds))
 
-    # The last row of each chunk is repeated in the key's next chunk, where it
-    # only serves as the previous row.  One row per chunk is sorted per key.
-    tails = chunked.groupBy(*part).agg(
-        F.max(time).alias(time), *[F.max_by(v, time).alias(v) for v in values])
-    following = F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
-    carried = tails.withColumn("_chunk", following).where("_chunk IS NOT NULL")
+    # The last rows of every chunk; of those, the ones directly before a chunk are
+    # repeated in it, where they only serve as previous rows.
+    newest_first = Window.partitionBy(*part).orderBy(F.desc(time))
+    tails = chunked.select(*part, time, *values, F.row_number().over(newest_first).alias("_back")).where(
+        F.col("_back") <= steps)
+    in_order = Window.partitionBy(*keys).orderBy("_chunk", F.desc("_back"))
+    first = F.coalesce(~F.lag("_chunk").over(in_order).eqNullSafe(F.col("_chunk")), F.lit(True)) | (
+        F.row_number().over(in_order) == 1)
+    next_chunks = F.collect_list(F.when(F.col("_first"), F.struct("_chunk"))).over(in_order.rowsBetween(1, steps))
+    carried = tails.withColumn("_first", first).withColumn("_next", next_chunks).withColumn("_next", F.explode("_next")).withColumn(
+        "_chunk", F.col("_next._chunk")).drop("_next", "_first", "_back")
 
     rows = chunked.withColumn("_carried", F.lit(False)).unionByName(
         carried.withColumn("_carried", F.lit(True)), allowMissingColumns=True)
     inside = Window.partitionBy(*part).orderBy(time)
-    previous = {out: F.lag(value).over(inside) for out, (value, _) in changes.items()}
+    previous = {out: F.lag(value, steps).over(inside) for out, (value, _) in changes.items()}
     return _subtract(rows, previous, changes).where(~F.col("_carried")).drop("_chunk", "_carried")

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import join_null_safe
+
 HEX_DIGITS = 4
 BUCKETS = 16 ** HEX_DIGITS
 
@@ -46,7 +48,7 @@ def mark_lowest(df: DataFrame, group: Sequence[str], keys: Sequence[str], quota:
     )
     ranked = Window.partitionBy(*group, "_bucket").orderBy("_hash", *keys)
     return (
-        rows.join(counted, [*group, "_bucket"])
+        join_null_safe(rows, counted, [*group, "_bucket"])
         .withColumn(out, F.row_number().over(ranked) <= F.col("_left"))
         .drop("_hash", "_bucket", "_left")
     )

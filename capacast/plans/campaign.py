@@ -37,6 +37,9 @@ class Campaign:
     proposal_prefix: str = "PROP-"
 
 
+BURST_PREFIX = "BURST-"
+
+
 def select_targets(opportunities: DataFrame, cut: float = TARGET_SCORE, strict: bool = False) -> DataFrame:
     """Opportunities at or above the score (``strict``: above it)."""
     score = F.col("conversion_score")
@@ -50,7 +53,7 @@ def burst_slices(targets: DataFrame, as_of: Column) -> DataFrame:
     """
     extra = F.col("contracted_bandwidth_mbps") * scores.EXPANSION_SHARE
     return targets.select(
-        F.concat(F.lit("BURST-"), F.upper(F.md5("customer_id"))).alias("slice_id"),
+        F.concat(F.lit(BURST_PREFIX), F.upper(F.md5("customer_id"))).alias("slice_id"),
         "customer_id", "tower_id",
         F.concat("customer_type", F.lit("_burst")).alias("slice_type"),
         extra.alias("contracted_bandwidth_mbps"),
@@ -109,8 +112,12 @@ def campaign_summary(log: DataFrame, by: Sequence[str] = (), **more: Column) ->
     )
 
 
-def event_summary(log: DataFrame, event: Campaign, as_of: Column) -> DataFrame:
-    """The summary row of one event; nothing passes through the driver."""
+def event_summary(log: DataFrame, event: Campaign, as_of: Column, bursts: DataFrame | None = None) -> DataFrame:
+    """The summary row of one event; nothing passes through the driver.
+
+    Burst slices are counted in ``bursts``; without it, one is taken to be provisioned for each target.
+    """
+    provisioned = F.col("total_targeted") if bursts is None else bursts.agg(F.count(F.lit(1))).scalar()
     return campaign_summary(log).select(
         F.lit(event.event_id).alias("event_id"), F.lit(event.event_name).alias("event_name"),
         F.lit(event.event_date).cast("date").alias("event_date"), F.lit(event.venue_name).alias("venue_name"),
@@ -120,7 +127,7 @@ def event_summary(log: DataFrame, event: Campaign, as_of: Column) -> DataFrame:
         F.col("immediate_monthly_upsell").alias("immediate_monthly_upsell_usd"),
         F.col("projected_upsell_arr").alias("projected_upsell_arr_usd"),
         F.col("arr_protected_from_churn").alias("arr_protected_from_churn_usd"),
-        F.col("total_targeted").alias("burst_slices_provisioned"),
+        provisioned.alias("burst_slices_provisioned"),
         "sla_violations", as_of.alias("summary_generated_at"))
 
 
@@ -136,7 +143,12 @@ def run(opportunities: DataFrame, event: Campaign, as_of: Column, slices_path: s
     slices = conform(burst_slices(targets, as_of), schemas.schema(schemas.SLICES))
     tables.append_new(slices, slices_path, ["slice_id"], F.col("expires_timestamp") > as_of)
     sent = conform(proposals(targets, as_of, event.proposal_prefix), schemas.schema(schemas.PROPOSALS))
-    tables.append_new(sent, log_path, ["proposal_id"])
+    # Ids are short, so accounts may share one: the account is part of the key.
+    tables.append_new(sent, log_path, ["proposal_id", "customer_id"])
     log = sent.sparkSession.read.schema(sent.schema).parquet(log_path)
     mine = log.where(F.col("proposal_id").startswith(event.proposal_prefix))
-    tables.overwrite(event_summary(mine, event, as_of), summary_path)
+    first = mine.groupBy("customer_id").agg(F.min("sent_at").alias("sent_at"))
+    stored = sent.sparkSession.read.schema(slices.schema).parquet(slices_path)
+    served = stored.where(F.col("slice_id").startswith(BURST_PREFIX)).join(first, "customer_id").where(
+        F.col("created_timestamp") >= F.col("sent_at"))
+    tables.overwrite(event_summary(mine, event, as_of, served), summary_path)

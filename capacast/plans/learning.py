@@ -146,30 +146,32 @@ def importances(spark, model: PipelineModel, columns: Sequence[str]) -> DataFram
 
 
 def _auc(scored: DataFrame, label: str, score_column: str) -> DataFrame:
-    """Area under the curve from counts per score, kept to six decimals.
+    """Exact area under the curve from counts per distinct score, in one row; rows without a score are left out.
 
-    There are at most 1,000,001 score slots whatever the data size; running
-    counts are built within and then across 1,001 coarse slots.
+    The counts are sorted into ranges of scores.  A running count within each
+    range, plus the total of the ranges below, gives the negatives below a score.
     """
-    slot = F.rint(F.col(score_column) * 1e6).cast("int")
-    counts = scored.groupBy(slot.alias("slot")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"),
-    ).withColumn("coarse", F.floor(F.col("slot") / 1000).cast("int"))
-    before = Window.partitionBy("coarse").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    fine = counts.withColumn("below_inside", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    all_before = Window.partitionBy("one").orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = counts.groupBy("coarse").agg(F.sum("neg").alias("n")).withColumn("one", F.lit(1)).select(
-        "coarse", F.coalesce(F.sum("n").over(all_before), F.lit(0)).alias("below_coarse"))
+    counts = scored.where(F.col(score_column).isNotNull()).groupBy(F.col(score_column).alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    ranged = materialise(counts.repartitionByRange("score").withColumn("range", F.spark_partition_id()), "scores")
+    before = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    fine = ranged.withColumn("below_inside", F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    all_before = Window.partitionBy("one").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("range").agg(F.sum("neg").alias("n")).withColumn("one", F.lit(1)).select(
+        "range", F.coalesce(F.sum("n").over(all_before), F.lit(0)).alias("below_range"))
     # Twice the number of ordered pairs, so ties count as whole numbers.
     double_wins = F.col("pos").cast("decimal(18,0)") * (
-        (F.col("below_inside") + F.col("below_coarse")) * 2 + F.col("neg")).cast("decimal(19,0)")
+        (F.col("below_inside") + F.col("below_range")) * 2 + F.col("neg")).cast("decimal(19,0)")
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double") * 2
-    return fine.join(coarse, "coarse").agg(
+    return fine.join(totals, "range").agg(
         F.round(F.coalesce(F.try_divide(F.sum(double_wins).cast("double"), pairs), F.lit(0.0)), 6).alias("auc"))
 
 
 def classification_metrics(scored: DataFrame, label: str, prediction: str, score_column: str) -> DataFrame:
-    """Accuracy, precision, recall and AUC in one row; undefined values are 0."""
+    """Accuracy, precision, recall and AUC in one row; undefined values are 0.
+
+    Rows without a score do not enter the AUC; ``unscored`` tells how many there are.
+    """
     actual, said = F.col(label) == 1, F.col(prediction) == 1
 
     def share(top, bottom):
@@ -180,7 +182,7 @@ def classification_metrics(scored: DataFrame, label: str, prediction: str, score
     right = F.count_if(F.col(label) == F.col(prediction))
     counted = scored.agg(
         n.alias("rows"), share(right, n).alias("accuracy"), share(hits, claims).alias("precision"),
-        share(hits, cases).alias("recall"))
+        share(hits, cases).alias("recall"), F.count_if(F.col(score_column).isNull()).alias("unscored"))
     return counted.withColumn("auc", _auc(scored, label, score_column).scalar())
 
 

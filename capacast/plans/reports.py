@@ -16,7 +16,7 @@ from .layers import latest_flagged_window
 def event_report(summaries: DataFrame, event_name: str) -> DataFrame:
     """The summary of one event, with the rate in percent and money in whole units."""
     money = ["immediate_monthly_upsell_usd", "projected_upsell_arr_usd", "arr_protected_from_churn_usd"]
-    return top_k(summaries.where(F.col("event_name") == event_name), [F.desc("summary_generated_at")], 1).select(
+    return top_k(summaries.where(F.col("event_name") == event_name), [F.desc("summary_generated_at"), F.asc("event_id")], 1).select(
         "event_name", "b2b_customers_targeted", "b2b_customers_accepted",
         F.round(F.col("acceptance_rate") * 100, 1).alias("acceptance_rate_pct"),
         *[F.round(c, 0).alias(c) for c in money], "burst_slices_provisioned")
@@ -61,12 +61,13 @@ def top_accounts(opportunities: DataFrame, k: int = 10) -> DataFrame:
         "customer_id", "company_name", "monthly_revenue_opportunity")
 
 
-def closest_to_limit(opportunities: DataFrame, k: int = 20) -> DataFrame:
-    """Accounts nearest below or above their contracted bandwidth."""
+def closest_to_limit(opportunities: DataFrame, k: int | None = None) -> DataFrame:
+    """Accounts by their distance from the contracted bandwidth, nearest first; all of them unless ``k`` is given."""
     gap = F.abs(F.lit(100.0) - F.col("utilization_pct"))
-    return top_k(opportunities.withColumn("gap_pct", F.round(gap, 2)),
-                 [F.asc("gap_pct"), F.asc("customer_id")], k).select(
-        "customer_id", "company_name", "utilization_pct", "gap_pct", "breach_risk_level")
+    order = [F.asc("gap_pct"), F.asc("customer_id")]
+    ranked = opportunities.withColumn("gap_pct", F.round(gap, 2))
+    ranked = ranked.orderBy(*order) if k is None else top_k(ranked, order, k)
+    return ranked.select("customer_id", "company_name", "utilization_pct", "gap_pct", "breach_risk_level")
 
 
 def critical_between(log: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 # and a large cluster.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # A value that does not fit fails the job; it must not become null.
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -14,11 +14,12 @@ def rnd(x: str, digits: int) -> str:
 
 
 def mean(x: str) -> str:
-    return f"(cast(sum(cast({x} AS decimal(18,6))) AS DOUBLE) / count({x}))"
+    """Mean of the values as they are written out, so that it does not depend on their order."""
+    return f"({money(x)} / count({x}))"
 
 
 def money(x: str) -> str:
-    return f"cast(sum(cast({x} AS decimal(22,4))) AS DOUBLE)"
+    return f"sum(cast(cast({x} AS varchar) AS decimal(38,18)))::DOUBLE"
 
 
 def draw(key: str, salt: str) -> str:
@@ -56,6 +57,23 @@ def trended(source: str) -> str:
       FROM {source}"""
 
 
+def featured(source: str) -> str:
+    return f"""
+      SELECT tower_id, window_start, window_end, avg_bandwidth_util, peak_bandwidth_util,
+        avg_connections::BIGINT AS avg_connections, peak_connections, avg_congestion_score, avg_latency_ms,
+        avg_packet_loss_pct, bandwidth_trend_15min, connection_trend_15min,
+        (tower_id IN (SELECT tower_id FROM proximity))::INT AS near_event_flag, hour_of_day, day_of_week,
+        (avg_bandwidth_util > 85 OR (avg_bandwidth_util > 75 AND bandwidth_trend_15min > 10))::INT
+          AS congestion_predicted_15min
+      FROM {source}"""
+
+
+def last_flagged(source: str, cut: int) -> str:
+    return f"""
+      SELECT * FROM {source} WHERE congestion_predicted_15min = 1 OR avg_congestion_score > {cut}
+      QUALIFY row_number() OVER (PARTITION BY tower_id ORDER BY window_start DESC) = 1"""
+
+
 BANDWIDTH = "least(100.0, greatest(0.0, bandwidth_utilization_pct))::DOUBLE"
 LOSS = "least(100.0, greatest(0.0, packet_loss_pct))::DOUBLE"
 ERRORS = "least(100.0, greatest(0.0, error_rate_pct))::DOUBLE"
@@ -200,20 +218,16 @@ PARTS = {
       FROM calendar, sites WHERE {MILES} <= 5""",
     "daily": windowed("cleaned", DAY),
     "daily_trend": trended("daily"),
-    "features": """
-      SELECT tower_id, window_start, window_end, avg_bandwidth_util, peak_bandwidth_util,
-        avg_connections::BIGINT AS avg_connections, peak_connections, avg_congestion_score, avg_latency_ms,
-        avg_packet_loss_pct, bandwidth_trend_15min, connection_trend_15min,
-        (tower_id IN (SELECT tower_id FROM proximity))::INT AS near_event_flag, hour_of_day, day_of_week,
-        (avg_bandwidth_util > 85 OR (avg_bandwidth_util > 75 AND bandwidth_trend_15min > 10))::INT
-          AS congestion_predicted_15min
-      FROM daily_trend""",
+    "features": featured("daily_trend"),
+    "five_minutes": windowed("cleaned", 300),
+    "five_minutes_trend": trended("five_minutes"),
+    "features_5min": featured("five_minutes_trend"),
     "top_slice": """
       SELECT * FROM slices WHERE status = 'active'
       QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY utilization_pct DESC, slice_id) = 1""",
-    "last_flagged": """
-      SELECT * FROM features WHERE congestion_predicted_15min = 1 OR avg_congestion_score > 40
-      QUALIFY row_number() OVER (PARTITION BY tower_id ORDER BY window_start DESC) = 1""",
+    "last_flagged": last_flagged("features", 40),
+    "last_flagged_5min": last_flagged("features_5min", 60),
+    "opportunities_5min": scored("last_flagged_5min"),
     "opportunities": scored("last_flagged"),
     "rollup": f"""
       SELECT cast(window_start AS DATE) AS analysis_date, extract(hour FROM window_start)::INT AS hour_of_day,
@@ -411,6 +425,8 @@ SELECTS = {
     "join_top1": """SELECT customer_id, company_name, slice_id, tower_id, utilization_pct
         FROM enriched JOIN top_slice USING (customer_id)""",
     "account_opportunities": "SELECT * FROM opportunities",
+    "account_opportunities_5min": "SELECT * FROM opportunities_5min",
+    "congestion_features_5min": "SELECT * FROM features_5min",
     "site_status": "SELECT * FROM status",
     "latest_global_window": """SELECT tower_id, avg_congestion_score, avg_bandwidth_util,
         congestion_predicted_15min FROM features WHERE window_start = (SELECT max(window_start) FROM features)""",
@@ -529,10 +545,9 @@ SELECTS = {
     "stream_enrich": "SELECT * FROM enriched",
     "stream_tumbling": "SELECT * FROM closed",
     "stream_trend": trended("closed"),
-    "stream_latest": f"""SELECT tower_id, timestamp, bandwidth_utilization_pct, congestion_score FROM cleaned
-        WHERE {bucket('timestamp', 3600)} + to_hours(1)
-          <= (SELECT max(timestamp) FROM cleaned) - to_minutes(10)
-        QUALIFY row_number() OVER (PARTITION BY tower_id ORDER BY timestamp DESC) = 1""",
+    "stream_latest": """SELECT tower_id, timestamp, bandwidth_utilization_pct, congestion_score FROM cleaned
+        QUALIFY row_number() OVER (PARTITION BY tower_id ORDER BY timestamp DESC, bandwidth_utilization_pct DESC,
+          congestion_score DESC) = 1""",
     "stream_provision": provisioned("closed_opportunities") + " WHERE conversion_score >= 0.65",
     "layer_refresh": "SELECT * FROM rollup",
     # Learning
@@ -556,7 +571,8 @@ SELECTS = {
         {rnd('count(*) FILTER (label = 1 AND prediction = 1) / count(*) FILTER (prediction = 1)', 6)} AS precision,
         {rnd('count(*) FILTER (label = 1 AND prediction = 1) / count(*) FILTER (label = 1)', 6)} AS recall,
         {rnd('''(SELECT sum(CASE WHEN a.score > b.score THEN 2 WHEN a.score = b.score THEN 1 ELSE 0 END)::DOUBLE
-            / (2 * count(*)) FROM judged a, judged b WHERE a.label = 1 AND b.label = 0)''', 6)} AS auc
+            / (2 * count(*)) FROM judged a, judged b WHERE a.label = 1 AND b.label = 0)''', 6)} AS auc,
+        count(*) FILTER (score IS NULL) AS unscored
         FROM judged""",
     "class_report": f"""SELECT class,
         {rnd('count(*) FILTER (label = class AND prediction = class) / count(*) FILTER (prediction = class)', 6)}
@@ -577,7 +593,7 @@ SELECTS = {
         ORDER BY monthly_revenue_opportunity DESC, customer_id LIMIT 10""",
     "closest_to_breach": f"""SELECT customer_id, company_name, utilization_pct,
         {rnd('abs(100.0::DOUBLE - utilization_pct)', 2)} AS gap_pct, breach_risk_level FROM opportunities
-        ORDER BY gap_pct, customer_id LIMIT 20""",
+        ORDER BY gap_pct, customer_id""",
     "critical_in_window": """SELECT breach_risk_level, count(DISTINCT customer_id) AS accounts FROM log
         WHERE sent_at >= TIMESTAMP '2024-01-10' AND sent_at < TIMESTAMP '2024-01-25' GROUP BY 1""",
     "avg_util_by_type": f"""SELECT {rnd(mean('utilization_pct'), 2)} AS avg_utilization_pct FROM opportunities

@@ -76,6 +76,26 @@ def test_rerun_adds_nothing(spark, tmp_path):
     assert spark.read.parquet(paths[2]).head().b2b_customers_targeted == 2
 
 
+def test_accounts_that_share_a_short_id_are_all_kept(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log = spark.createDataFrame([("P-1", "C1", 1.0), ("P-1", "C2", 2.0), ("P-1", "C1", 0.5)],
+                                "proposal_id string, customer_id string, value double")
+    for _ in range(2):
+        tables.append_new(log, path, ["proposal_id", "customer_id"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("P-1", "C1", 0.5), ("P-1", "C2", 2.0)]
+
+
+def test_summary_counts_the_slices_of_the_event(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("slices", "log", "summary")]
+    found = opportunities(spark)
+    campaign.run(found, EVENT, as_of(), *paths)
+    # Its bursts still run, so a second event at once sends proposals and provisions nothing.
+    other = campaign.Campaign("EVT-3", "Parade", "2024-09-15", "Main field", "PROP-PAR-")
+    campaign.run(found, other, as_of() + F.expr("INTERVAL 1 HOUR"), *paths)
+    row = spark.read.parquet(paths[2]).head()
+    assert (row.b2b_customers_targeted, row.burst_slices_provisioned) == (2, 0)
+
+
 def test_rerun_completes_a_broken_run(spark, tmp_path):
     paths = [str(tmp_path / n) for n in ("slices", "log", "summary")]
     found = opportunities(spark)

@@ -1,8 +1,11 @@
 """Boundary rows of the scoring rules and scalar helpers."""
 
 import hashlib
+import math
 from datetime import datetime
+from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from capacast import session
@@ -118,13 +121,43 @@ def test_ratio_without_divisor(values):
     assert values("a double, b double", rows, scalars.ratio_pct(C("a"), C("b"))) == [25.0, None, None]
 
 
-def test_exact_mean_ignores_order_and_bad_values(spark):
-    rows = [(0.1,)] * 10 + [(None,), (float("nan"),), (float("inf"),)]
-    means = {
-        spark.createDataFrame(part, "x double").repartition(n).agg(aggregates.exact_mean(C("x"))).head()[0]
-        for n in (1, 3, 7) for part in (rows, rows[::-1])}
-    assert means == {0.1}
-    assert spark.createDataFrame([], "x double").agg(aggregates.exact_mean(C("x"))).head()[0] is None
+def _aggregated(spark, rows, make, partitions=1):
+    return spark.createDataFrame([(r,) for r in rows], "x double").repartition(partitions).agg(make(C("x"))).head()[0]
+
+
+def test_exact_mean_ignores_order(spark):
+    rows = [0.1] * 10 + [1e13, None, 4e-7]
+    wanted = float((Fraction("0.1") * 10 + 10**13 + Fraction("4e-7")) / 12)
+    assert {_aggregated(spark, part, aggregates.exact_mean, n) for n in (1, 3, 7) for part in (rows, rows[::-1])} == {wanted}
+
+
+@pytest.mark.parametrize("rows, mean, total", [
+    ([1e13, 1.0], 5000000000000.5, 1e13 + 1), ([4e-7], 4e-7, 4e-7), ([1e19, 1.0], 5e18, 1e19), ([9e12, 9e12], 9e12, 1.8e13),
+    ([float("inf"), 1.0], float("inf"), float("inf")), ([-0.5, 0.25, None], -0.125, -0.25), ([None], None, None), ([], None, None)])
+def test_exact_values(spark, rows, mean, total):
+    assert _aggregated(spark, rows, aggregates.exact_mean) == mean
+    assert _aggregated(spark, rows, aggregates.exact_sum) == total
+
+
+def test_odd_values_propagate(spark):
+    for rows in ([float("nan"), 1.0], [float("inf"), float("-inf")]):
+        assert math.isnan(_aggregated(spark, rows, aggregates.exact_mean))
+        assert math.isnan(_aggregated(spark, rows, aggregates.exact_sum))
+
+
+@pytest.mark.parametrize("rows", [[1e21], [9e19, 9e19]])
+def test_what_does_not_fit_fails(spark, rows):
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE|ARITHMETIC_OVERFLOW|out of range|overflow"):
+        _aggregated(spark, rows, aggregates.exact_sum)
+
+
+def test_time_buckets_keep_rows_without_a_time(spark):
+    rows = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ '2024-09-15 10:04:59.5'), (NULL) AS t(a)")
+    found = rows.select(scalars.time_bucket(C("a"), 300).alias("x"), scalars.time_bucket(C("a"), 3600).alias("y"),
+                        scalars.time_bucket(C("a").cast("timestamp"), 60).alias("z"))
+    assert [t for _, t in found.dtypes] == ["timestamp_ntz", "timestamp_ntz", "timestamp"]
+    assert sorted(map(tuple, found.select("x", "y").collect()), key=str) == [
+        (None, None), (datetime(2024, 9, 15, 10), datetime(2024, 9, 15, 10))]
 
 
 def test_distance(values):

@@ -79,6 +79,15 @@ def test_metrics_equal_brute_force(spark):
     assert row.recall == round(hits / sum(y for y, _, _ in rows), 6)
 
 
+@pytest.mark.parametrize("rows, area", [
+    ([(1, .1000004), (0, .1000001)], 1.0), ([(1, 1e9), (0, -1e12), (1, 3.0), (0, 2e9)], 0.5), ([(1, .5), (0, .5)], 0.5),
+    ([(1, .9), (0, .1), (1, None), (0, None), (None, .5)], 1.0), ([(1, float("inf")), (0, 1e308)], 1.0)])
+def test_area_of_close_wide_tied_and_missing_scores(spark, rows, area):
+    scored = spark.createDataFrame([(y, y, s) for y, s in rows], "y int, p int, s double")
+    row = learning.classification_metrics(scored, "y", "p", "s").head()
+    assert row.auc == area and row.unscored == sum(s is None for _, s in rows)
+
+
 def test_metrics_of_one_class(spark):
     scored = spark.createDataFrame([(0, 0, .2), (0, 0, .3)], "y int, p int, s double")
     row = learning.classification_metrics(scored, "y", "p", "s").head()

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry_points
+import oracle_queries
 from tools.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = entry_points.oracle_sql()
+SQL = oracle_queries.statements()
 
 
 @pytest.fixture(scope="module")

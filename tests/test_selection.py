@@ -42,3 +42,10 @@ def test_oversample_total(spark, positives, negatives, factor=5):
     if positives and wanted:
         copies = [r["count"] for r in grown.where("label = 1").groupBy("id").count().collect()]
         assert max(copies) <= math.ceil(wanted / positives) and max(copies) - min(copies) <= 1
+
+
+def test_rows_without_a_label_stay(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 2).alias("y"))
+    split = selection.stratified_split(df, "y", ["id"])
+    assert split.count() == 100
+    assert split.where("y is null").selectExpr("count_if(is_test)", "count(*)").head()[:] == (2, 10)
