@@ -211,8 +211,8 @@ def class_report(scored: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def evaluate_and_store(model: PipelineModel, test: DataFrame, columns: Sequence[str], label: str,
-                       folder: str) -> dict[str, DataFrame]:
-    """Save the model, its scored test rows and its measures below ``folder``."""
+                       folder: str, missing: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Save the model, its scored test rows, its measures and the features it had to do without below ``folder``."""
     save(model, f"{folder}/model")
     score(model, test).write.mode("overwrite").parquet(f"{folder}/scored")
     scored = test.sparkSession.read.parquet(f"{folder}/scored")
@@ -220,6 +220,7 @@ def evaluate_and_store(model: PipelineModel, test: DataFrame, columns: Sequence[
         "metrics": classification_metrics(scored, label, "prediction", "score"),
         "report": class_report(scored, label, "prediction"),
         "importances": importances(test.sparkSession, model, columns),
+        "skipped": test.sparkSession.createDataFrame([(c,) for c in missing], "feature string"),
     }
     for name, df in results.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -229,18 +230,23 @@ def evaluate_and_store(model: PipelineModel, test: DataFrame, columns: Sequence[
 def train_congestion(features: DataFrame, folder: str, **settings) -> dict[str, DataFrame]:
     """Predicted congestion of a window from its features, by a forest."""
     keys = ["tower_id", "window_start"]
-    columns, _ = available(features, CONGESTION_FEATURES)
+    columns, missing = available(features, CONGESTION_FEATURES)
     table = feature_table(features, columns, CONGESTION_LABEL, keys)
     train, test = train_and_test(table, CONGESTION_LABEL, keys, factor=OVERSAMPLE_FACTOR)
     model = fit_forest(train, columns, CONGESTION_LABEL, **settings)
-    return evaluate_and_store(model, test, columns, CONGESTION_LABEL, folder)
+    return evaluate_and_store(model, test, columns, CONGESTION_LABEL, folder, missing)
 
 
-def train_accounts(opportunities: DataFrame, folder: str, **settings) -> dict[str, DataFrame]:
+def with_tickets(opportunities: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Opportunities with the account's recent support tickets, which the model wants as well."""
+    return opportunities.join(accounts.select("customer_id", "support_tickets_30d"), "customer_id")
+
+
+def train_accounts(opportunities: DataFrame, accounts: DataFrame, folder: str, **settings) -> dict[str, DataFrame]:
     """Conversion of an account from its contract and its site, by boosted trees."""
-    labelled = simulated_label(opportunities)
-    columns, _ = available(labelled, ACCOUNT_FEATURES)
+    labelled = simulated_label(with_tickets(opportunities, accounts))
+    columns, missing = available(labelled, ACCOUNT_FEATURES)
     table = feature_table(labelled, columns, ACCOUNT_LABEL, ["customer_id"])
     train, test = train_and_test(table, ACCOUNT_LABEL, ["customer_id"])
     model = fit_boosted(train, columns, ACCOUNT_LABEL, **settings)
-    return evaluate_and_store(model, test, columns, ACCOUNT_LABEL, folder)
+    return evaluate_and_store(model, test, columns, ACCOUNT_LABEL, folder, missing)

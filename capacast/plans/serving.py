@@ -60,7 +60,7 @@ def latest_summary(summaries: DataFrame) -> DataFrame:
 
 def kpi_bundle(opportunities: DataFrame, telemetry: DataFrame, features: DataFrame, log: DataFrame,
                summaries: DataFrame, slices: DataFrame) -> DataFrame:
-    """All headline numbers in one row; each source is scanned once.
+    """All headline numbers in one row; with landed layers each of them is scanned once.
 
     Every source is reduced to one row first; the rows are stacked and merged,
     which needs no cross join.

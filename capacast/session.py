@@ -6,10 +6,10 @@ import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Settings that can be changed on a running session.  Shuffles start with many
-# partitions and are merged by adaptive execution, so the same job fits a laptop
-# and a large cluster.
+# Settings that can be changed on a running session.  The number of shuffle
+# partitions depends on the input; ``sized`` sets it from what the files hold.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # A value that does not fit fails the job; it must not become null.
@@ -45,21 +45,40 @@ def build(app: str = "capacast", master: str | None = None, shuffle_partitions:
     return configure(builder.getOrCreate())
 
 
+PARTITION = 256 << 20
+
+
 def sizing(input_bytes: int, cores: int) -> dict[str, str]:
     """Settings for a job over that much input.
 
-    Shuffle partitions aim at 256 MB each, with at least two per core; adaptive
-    execution merges the small ones.  Scan tasks grow with the input, up to 1 GB,
-    so that their number stays manageable.
+    Shuffles start with one partition for 256 MB, with at least two per core;
+    adaptive execution merges the small ones up to that size.  Streams, which are
+    not adaptive, keep the number for the life of their state.  Scan tasks grow
+    with the input, up to 1 GB, so that their number stays manageable.
     """
-    partitions = max(2 * cores, math.ceil(input_bytes / (256 << 20)))
+    partitions = max(2 * cores, math.ceil(input_bytes / PARTITION))
     per_task = min(1 << 30, max(128 << 20, input_bytes // 200_000))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(min(PARTITION, max(8 << 20, input_bytes // partitions))),
         "spark.sql.files.maxPartitionBytes": str(per_task),
     }
 
 
+def stored_bytes(spark: SparkSession, *paths: str) -> int:
+    """Bytes of the files below the paths, from their listing alone, on any file system that Spark reads."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def sized(spark: SparkSession, *paths: str) -> SparkSession:
+    """Set the session's sizes from the files of a job's input."""
+    for key, value in sizing(stored_bytes(spark, *paths), spark.sparkContext.defaultParallelism).items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder below the one every executor can reach.
 

@@ -47,16 +47,15 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_history(df: DataFrame, path: str, time: str, keys: Sequence[str], files_per_day: int = 8) -> None:
+def write_history(df: DataFrame, path: str, time: str, keys: Sequence[str]) -> None:
     """Append partitioned by day and sorted by key and time, for pruned time-range scans.
 
-    A day is spread over ``files_per_day`` tasks by key and time, so neither a
-    busy day nor a busy key lands in a single task.
+    Adaptive execution cuts a busy day into as many tasks as its size asks for,
+    and puts quiet days together.
     """
-    slot = F.pmod(F.xxhash64(*keys, F.col(time).cast("string")), F.lit(files_per_day))
     (
         df.withColumn("day", F.to_date(time))
-        .repartition("day", slot)
+        .hint("rebalance", "day")
         .sortWithinPartitions("day", *keys, time)
         .write.mode("append").partitionBy("day").parquet(path)
     )

@@ -5,7 +5,7 @@
         --name "Cup final" --date 2024-09-15 --venue "Main field" --prefix PROP-CUP-
     spark-submit jobs.py train    --layers LAYERS --models MODELS
 
-Add ``--input-gb N --cores N`` to size shuffles and scans for the data at hand.
+Shuffles and scans are sized from the files of the input; ``--input-gb N --cores N`` override that.
 RAW holds the folders telemetry, accounts, events and slices with Parquet files
 in the schemas of ``capacast.sources.schemas``.
 """
@@ -43,7 +43,9 @@ def run_campaign(spark, args) -> None:
 
 def run_train(spark, args) -> None:
     learning.train_congestion(spark.read.parquet(f"{args.layers}/{refresh.FEATURES}"), f"{args.models}/congestion")
-    learning.train_accounts(spark.read.parquet(f"{args.layers}/{refresh.OPPORTUNITIES}"), f"{args.models}/accounts")
+    learning.train_accounts(
+        spark.read.parquet(f"{args.layers}/{refresh.OPPORTUNITIES}"),
+        spark.read.parquet(f"{args.layers}/{refresh.ENRICHED}"), f"{args.models}/accounts")
 
 
 JOBS = {
@@ -64,7 +66,10 @@ def main(argv: list[str] | None = None) -> None:
         command.add_argument("--cores", type=int, default=8)
     args = parser.parse_args(argv)
     settings = session.sizing(int(args.input_gb * (1 << 30)), args.cores) if args.input_gb else {}
-    JOBS[args.job][0](session.build("capacast-" + args.job, **settings), args)
+    spark = session.build("capacast-" + args.job, **settings)
+    if not settings:
+        session.sized(spark, getattr(args, "raw", None) or args.layers)
+    JOBS[args.job][0](spark, args)
 
 
 if __name__ == "__main__":

@@ -564,6 +564,19 @@ SELECTS = {
     "simulated_label": f"""SELECT customer_id, conversion_score, (CASE WHEN conversion_score > 0.7
         THEN {draw('customer_id', 'high')} < 0.47::DOUBLE ELSE {draw('customer_id', 'low')} < 0.05::DOUBLE END)::INT
         AS will_convert FROM opportunities""",
+    "rf_held_out": """SELECT tower_id, window_start, congestion_predicted_15min, true AS valid,
+        true AS same_when_restored, true AS accurate FROM split WHERE is_test""",
+    "gbt_held_out": f"""SELECT customer_id, will_convert, true AS valid, true AS same_when_restored FROM (
+          SELECT customer_id, (CASE WHEN conversion_score > 0.7 THEN {draw('customer_id', 'high')} < 0.47::DOUBLE
+            ELSE {draw('customer_id', 'low')} < 0.05::DOUBLE END)::INT AS will_convert
+          FROM opportunities WHERE avg_congestion_score IS NOT NULL AND congestion_predicted_15min IS NOT NULL)
+        QUALIFY row_number() OVER (PARTITION BY will_convert ORDER BY md5(customer_id || '|split42'))
+          <= ceil(count(*) OVER (PARTITION BY will_convert) * 0.2)""",
+    "importance_total": "SELECT feature, true AS valid, 1.0::DOUBLE AS total FROM (VALUES "
+        + ", ".join(f"('{c}')" for c in (
+            "avg_bandwidth_util", "peak_bandwidth_util", "avg_connections", "avg_congestion_score", "avg_latency_ms",
+            "avg_packet_loss_pct", "bandwidth_trend_15min", "connection_trend_15min", "near_event_flag",
+            "hour_of_day", "day_of_week")) + ") AS t(feature)",
     "label_balance": f"""SELECT congestion_predicted_15min, count(*) AS rows,
         {rnd('count(*) / (SELECT count(*) FROM ml_table)', 4)} AS share FROM ml_table GROUP BY 1""",
     "classification_metrics": f"""SELECT count(*) AS rows,

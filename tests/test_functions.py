@@ -166,9 +166,18 @@ def test_distance(values):
     assert values("a double, b double", rows, miles) == [.760, .198, 4.459, 8.268]
 
 
-def test_sizing_grows_with_the_input():
+def test_sizing_grows_with_the_input(spark, tmp_path):
     small, large = session.sizing(10 << 30, 32), session.sizing(100 << 40, 4000)
-    assert small == {"spark.sql.shuffle.partitions": "64", "spark.sql.files.maxPartitionBytes": str(128 << 20)}
-    assert large == {
-        "spark.sql.shuffle.partitions": "409600",
-        "spark.sql.files.maxPartitionBytes": str((100 << 40) // 200_000)}
+    assert (small["spark.sql.shuffle.partitions"], large["spark.sql.shuffle.partitions"]) == ("64", "409600")
+    assert large["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "409600"
+    assert small["spark.sql.files.maxPartitionBytes"] == str(128 << 20)
+    assert large["spark.sql.files.maxPartitionBytes"] == str((100 << 40) // 200_000)
+    spark.range(1000).write.parquet(str(tmp_path / "t" / "u"))
+    held = sum(p.stat().st_size for p in (tmp_path / "t").rglob("*") if p.is_file() and p.name[0] not in "._")
+    assert session.stored_bytes(spark, str(tmp_path / "t")) == held
+    keys = session.sizing(held, 4)
+    before = {k: spark.conf.get(k, None) for k in keys}
+    session.sized(spark, str(tmp_path / "t"))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"  # two for each of four cores
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)

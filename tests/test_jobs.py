@@ -36,7 +36,12 @@ def test_training_job_stores_model_and_measures(spark, tmp_path):
     results = learning.train_congestion(rows, str(tmp_path / "m"), trees=3, depth=3)
     assert results["metrics"].head().accuracy > .9
     assert {p.name for p in (tmp_path / "m").iterdir()} >= {"model", "scored", "metrics", "report", "importances"}
+    assert results["skipped"].count() == len(learning.CONGESTION_FEATURES) - results["importances"].count()
     accounts = spark.range(200).selectExpr(
         "concat('C', id) AS customer_id", "0.6 + id % 40 / 100 AS conversion_score",
         "double(id) AS monthly_contract_value", "id % 7 / 10 AS churn_risk_score")
-    assert learning.train_accounts(accounts, str(tmp_path / "a"), rounds=2, depth=2)["metrics"].head().rows > 0
+    tickets = accounts.selectExpr("customer_id", "int(length(customer_id)) AS support_tickets_30d")
+    results = learning.train_accounts(accounts, tickets, str(tmp_path / "a"), rounds=2, depth=2)
+    assert results["metrics"].head().rows > 0
+    assert {r.feature for r in results["skipped"].collect()} == set(learning.ACCOUNT_FEATURES) - {
+        "monthly_contract_value", "churn_risk_score", "support_tickets_30d"}

@@ -45,7 +45,7 @@ def test_status_as_of(spark):
 def test_history_is_pruned_by_day(spark, tmp_path):
     data = table(spark, schemas.TELEMETRY, [reading(f"T{i % 3}", i * 60, 5.0) for i in range(100)])
     path = str(tmp_path / "history")
-    tables.write_history(data, path, "timestamp", ["tower_id"], files_per_day=2)
+    tables.write_history(data, path, "timestamp", ["tower_id"])
     day = spark.read.parquet(path).where("day = DATE '2024-09-16'")
     assert day.count() == 24
     assert "PartitionFilters: [isnotnull(day" in day._jdf.queryExecution().executedPlan().toString()
