@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,10 +102,11 @@ def newest_windows(features: DataFrame) -> DataFrame:
 
 
 def time_steps(telemetry: DataFrame, steps: int = STEPS, flag_above: float = REPLAY_FLAG,
-               prefix: str | None = None) -> DataFrame:
+               prefix: str | None = None, step: int | None = None) -> DataFrame:
     """The covered time cut into equal half-open steps; one row per step and site.
 
-    ``prefix`` restricts the sites shown, not the time covered.  Step bounds are
+    ``prefix`` restricts the sites shown, not the time covered.  With ``step`` only
+    that one is computed, and its range of times goes into the scan.  Step bounds are
     whole seconds, rounded down, and the newest second lies outside the last
     step.  Bounds enter the plan as scalar subqueries, so all steps come from one
     scan after the bounds are known.
@@ -112,6 +115,16 @@ def time_steps(telemetry: DataFrame, steps: int = STEPS, flag_above: float = REP
     first = telemetry.agg(F.min(second)).scalar()
     last = telemetry.agg(F.max(second)).scalar()
     shown = telemetry if prefix is None else telemetry.where(F.col("tower_id").startswith(prefix))
+    if step is not None:
+        low, high = telemetry.agg(F.min("timestamp"), F.max("timestamp")).first()
+        if low is None or not 0 <= step < steps:
+            return time_steps(telemetry.limit(0), steps, flag_above, prefix)
+        low, high = low.replace(microsecond=0), high.replace(microsecond=0)
+        length = (high - low).total_seconds() / steps
+        # A second on either side: the exact bounds are settled below.
+        around = [low + timedelta(seconds=math.floor(n * length) + side) for n, side in ((step, -1), (step + 1, 1))]
+        kind = telemetry.schema["timestamp"].dataType
+        shown = shown.where(F.col("timestamp").between(*[F.lit(a).cast(kind) for a in around]))
     bounded = shown.select(
         "tower_id", "bandwidth_utilization_pct", "active_connections", "latency_ms",
         second.alias("_t"), first.alias("_from"), ((last - first) / F.lit(steps)).alias("_length"))
@@ -123,6 +136,8 @@ def time_steps(telemetry: DataFrame, steps: int = STEPS, flag_above: float = REP
         .where(F.col("step") < steps)
     )
     mean = exact_mean(F.col("bandwidth_utilization_pct"))
+    if step is not None:
+        stepped = stepped.where(F.col("step") == step)
     return stepped.groupBy("step", "tower_id").agg(
         mean.alias("bandwidth_utilization_pct"),
         F.max("active_connections").alias("active_connections"),

@@ -30,6 +30,12 @@ def test_time_steps_equal_brute_force(spark):
     for r in found:
         members = [m[5] for m in expected[r.step, r.tower_id] if m[5] is not None]
         assert abs(r.bandwidth_utilization_pct - sum(members) / len(members)) < 1e-6
+    telemetry = table(spark, schemas.TELEMETRY, rows)
+    for k in (0, 7, 29, 30):
+        one = serving.time_steps(telemetry, step=k)
+        assert sorted(one.collect()) == sorted(r for r in found if r.step == k)
+    pushed = serving.time_steps(telemetry, step=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "timestamp#" in pushed and ">= 2024" in pushed.replace("TIMESTAMP_NTZ '", "").replace("TIMESTAMP '", "")
     # The newest row is in no step.
     assert sum(len(m) for m in expected.values()) == len(rows) - 1
 
