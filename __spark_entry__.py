@@ -451,7 +451,7 @@ def layer_refresh(t: Tables) -> DataFrame:
     settings = refresh.Settings(window_seconds=DAY, score_cut=SCORE_CUT, rollup_time="window_start")
     for _ in range(2):
         streams = {"telemetry": t.telemetry_stream(), "accounts": t.account_stream()}
-        written = refresh.refresh(folder, streams, t.telemetry, t.calendar, t.slices, at(AS_OF), settings)
+        written = refresh.refresh(folder, streams, t.calendar, t.slices, at(AS_OF), settings)
     return written[refresh.REVENUE]
 
 

@@ -30,8 +30,7 @@ def run_refresh(spark, args) -> None:
 
     streams = {"telemetry": live("telemetry", schemas.TELEMETRY), "accounts": live("accounts", schemas.ACCOUNTS)}
     refresh.refresh(
-        args.layers, streams, batch("telemetry", schemas.TELEMETRY), batch("events", schemas.EVENTS),
-        batch("slices", schemas.SLICES), F.current_timestamp())
+        args.layers, streams, batch("events", schemas.EVENTS), batch("slices", schemas.SLICES), F.current_timestamp())
 
 
 def run_campaign(spark, args) -> None:
