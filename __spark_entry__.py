@@ -23,8 +23,8 @@ from capacast.streaming import jobs  # noqa: E402
 try:  # the training-data operators are an optional part
     import corpus_pipeline  # noqa: E402
     from capacast.llm import queries as llm  # noqa: E402
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "capacast.llm"):
+except ImportError as missing:  # a path means that the module is there and broken
+    if missing.name not in ("corpus_pipeline", "capacast.llm") or missing.path:
         raise
     llm = None
 
