@@ -33,30 +33,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BYTE_BASE))
 
 
-class _Powers(dict):
-    """base**i and base**-i modulo 2**64 by (base, size), made where they are first needed."""
-
-    def __missing__(self, key: tuple[int, int]) -> tuple[np.ndarray, ...]:
-        base, size = key
-        self[key] = tuple(
-            np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))])
-            for b in (base, pow(base, -1, _U64)))
-        return self[key]
-
-    def __reduce__(self):
-        return _Powers, ()
-
-
-_POWERS = _Powers()
+def _powers(base: int, count: int) -> np.ndarray:
+    """base**0 to base**count modulo 2**64; not kept, as each task has globals of its own that only a full garbage
+    collection frees."""
+    factors = np.full(count + 1, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=np.uint64)
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _WORD_BASE) -> np.ndarray:
     """Hash of every run values[start:end] from one running sum."""
-    up, down = _POWERS[base, 1 << max(16, len(values).bit_length())]
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:len(values)], out=sums[1:])
+    np.cumsum(values * _powers(base, len(values))[:-1], out=sums[1:])
+    back = _powers(pow(base, -1, _U64), len(values))[starts]
     lengths = (ends - starts).astype(np.uint64)
-    return mix((sums[ends] - sums[starts]) * down[starts] + lengths * np.uint64(_BYTE_BASE))
+    return mix((sums[ends] - sums[starts]) * back + lengths * np.uint64(_BYTE_BASE))
 
 
 def spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
