@@ -5,13 +5,14 @@ choose the same anchor at the same offset, so runs have to be compared under equ
 the same anchor form one seed, which carries the hash of all words that it spans.
 
 Extend.  Seeds are joined on their anchor.  A seed whose whole span occurs earlier is a repeat from end to end.  Where one
-anchor has different spans, the match ends somewhere within: the seeds of that kind are extended to both sides run by run,
-and every run is looked up by its own hash.
+anchor has different spans, the match ends somewhere within: one seed of each such span is extended to both sides run by
+run, and every run is looked up by its own hash.
 
 Maximal repeats.  The repeated runs of a document are merged into maximal stretches and cut out.
 
 Equality of words is that of 128 bits of hashes (anchor and run).  Rows that a task itself can tell to be repeats leave the
-comparison at once, so a passage in a third of all documents gives the shuffle one row for each batch of documents.
+comparison at once, so a passage in a third of all documents gives the shuffle one row for each batch of documents.  An
+anchor with many spans is spread by the span; which anchors have several is counted with partial sums.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capacast import session
@@ -143,13 +144,11 @@ def _open_runs(docs: DataFrame, length: int) -> DataFrame:
 _ORDER = ("place", "tag", "start")
 
 
-def _joined(rows: DataFrame) -> DataFrame:
-    """Rows brought together by anchor, in the order of their spans and places."""
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "span", *_ORDER)
-
-
-def _rank() -> Column:
-    return F.row_number().over(Window.partitionBy("anchor", "span").orderBy(*_ORDER))
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Rows with ``known`` true for all but the first of equal ones."""
+    together = rows.repartition("anchor", "span").sortWithinPartitions("anchor", "span", *_ORDER)
+    rank = F.row_number().over(Window.partitionBy("anchor", "span").orderBy(*_ORDER))
+    return together.withColumn("known", F.col("known") | (rank > 1))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -187,13 +186,17 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``known`` lists seeds that are repeats from end to end, as structs of the first run's start and the number of runs;
     ``open`` lists the starts of the seeds that have to be extended.
     """
-    by_anchor = Window.partitionBy("anchor")
-    seeds = _joined(_seeds(docs, length)).withColumn(
-        "kinds", F.min("span").over(by_anchor) != F.max("span").over(by_anchor)).withColumn("rank", _rank())
-    repeat = F.col("known") | (F.col("rank") > 1)
-    return seeds.where(repeat | F.col("kinds")).groupBy("place", "tag").agg(
-        F.collect_list(F.when(repeat, F.struct("start", "runs"))).alias("known"),
-        F.collect_list(F.when(~repeat, F.col("start"))).alias("open"))
+    seeds = session.materialise(_ranked(_seeds(docs, length)).select(
+        "known", F.when(~F.col("known"), F.col("anchor")).alias("anchor"), *_ORDER,
+        F.when(F.col("known"), F.col("runs")).alias("runs")), "seeds")
+    # Each span has one row left that is not known, so two under an anchor are two spans.
+    first = seeds.where("not known").select("anchor", *_ORDER)
+    shared = session.materialise(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"),
+                                 "anchors")
+    opened = first.join(shared, "anchor").select("place", "tag", F.lit(None).alias("part"), F.col("start").alias("begin"))
+    repeats = seeds.where("known").select("place", "tag", F.struct("start", "runs").alias("part"), F.lit(None).alias("begin"))
+    return repeats.union(opened).groupBy("place", "tag").agg(
+        F.collect_list("part").alias("known"), F.collect_list("begin").alias("open"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id",
@@ -212,9 +215,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
     key = ["place", "tag"]
     waiting = marks.where(F.size("open") > 0).select(*key, "open")
     texts = _packed(inner.select("text", *key)).dropDuplicates(key)
-    opened = _joined(_open_runs(texts.join(waiting, key), length))
-    found = opened.withColumn("rank", _rank()).where(F.col("known") | (F.col("rank") > 1))
-    more = found.groupBy(*key).agg(F.collect_list("start").alias("more"))
+    more = _ranked(_open_runs(texts.join(waiting, key), length)).where("known").groupBy(*key).agg(F.collect_list("start").alias("more"))
     full = _packed(inner.withColumn("missing", F.col("text").isNull()).drop("doc_id"))
     cut = _cut(full.join(marks.select(*key, "known"), key, "left").join(more, key, "left"), length)
     back = [F.col("text").alias(text_column) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
