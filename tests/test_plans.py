@@ -60,9 +60,9 @@ def test_top_row_is_limited_before_the_shuffle(stored):
     assert "WindowGroupLimit" in before and "Partial" in before
 
 
-def test_newest_row_needs_no_sort(stored):
+def test_newest_row_is_combined_before_the_shuffle(stored):
     text = plan(ranking.newest_values(stored, ["tower_id"], "timestamp", ["latency_ms", "active_connections"]))
-    assert "HashAggregate" in text and "Sort" not in text
+    assert text.count("Exchange") == 1 and "partial_max(struct(" in text.split("Exchange")[1]
 
 
 def test_near_sites_are_joined_after_the_distinct(spark, stored):
