@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capacast.operators.selection import mark_lowest
+
 
 def held_out(id_column: Column, modulus: int, remainder: int) -> Column:
     """Whether the CRC-32 of the id as text leaves this remainder; false for a null id."""
@@ -15,14 +17,14 @@ def held_out(id_column: Column, modulus: int, remainder: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, bound: int) -> DataFrame:
     """(text, label) of at most ``bound`` documents of each label that are not held out.
 
-    Labels 0 and 1 count, of a repeated id the higher one; which documents are taken follows a hash of the id.  The ids are
-    picked on ``labels`` alone and broadcast, which the bound allows; of documents with one id each is taken.
+    Labels 0 and 1 count, of a repeated id the higher one; which documents are taken follows a hash of the id, without
+    bringing the rows of a label together.  The ids are picked on ``labels`` alone and broadcast, which the bound allows;
+    of documents with one id each is taken.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(label).cast("int").alias("label")).where(~held_out(F.col("doc_id"), modulus, remainder))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.withColumn("place", F.row_number().over(order)).where(F.col("place") <= bound).select(
-        F.col("doc_id").alias("labelled_id"), "label")
+    picked = mark_lowest(usable, ["label"], ["doc_id"], F.least(F.lit(bound), F.col("_n")), "picked", label).where(
+        "picked").select(F.col("doc_id").alias("labelled_id"), "label")
     return docs.select("doc_id", "text").join(
         F.broadcast(picked), F.col("doc_id") == F.col("labelled_id")).select("text", "label")
 

@@ -12,12 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capacast import session
 from capacast.llm.words import pieces
 from capacast.operators.joins import join_unique
+from capacast.operators.selection import mark_lowest
 
 SAMPLE = 1500
 LEAST = 5
@@ -67,10 +68,9 @@ def fit(rows: DataFrame, bound: int = SAMPLE) -> Model:
 
     A language needs ``LEAST`` rows that declare it.  Only the counts of 2**14 buckets by language reach the driver.
     """
-    order = Window.partitionBy("declared").orderBy(F.xxhash64("id"), "id")
-    picked = rows.where("declared <> '' and id is not null").select("id", "declared").distinct().withColumn(
-        "place", F.row_number().over(order)).where(F.col("place") <= bound)
-    enough = picked.groupBy("declared").agg(F.max("place").alias("n")).where(F.col("n") >= LEAST)
+    known = rows.where("declared <> '' and id is not null").select("id", "declared").distinct()
+    picked = mark_lowest(known, ["declared"], ["id"], F.least(F.lit(bound), F.col("_n")), "picked").where("picked")
+    enough = picked.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
     languages = sorted(r.declared for r in enough.collect())
     chosen = picked.where(F.col("declared").isin(languages)).select("id", "declared")
 
