@@ -98,9 +98,14 @@ def _placed(found: dict[str, np.ndarray], place: int, tag: int) -> dict[str, np.
 
 
 def _seeds(docs: DataFrame, length: int) -> DataFrame:
+    """Seeds of documents, whose text is in ``text`` or compressed in ``packed``."""
+    column = "packed" if "packed" in docs.columns else "text"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for part, texts in pieces(batches):
+        for part, texts in pieces(batches, column):
+            if column == "packed":
+                texts = map(zstandard.decompress, texts)
             for text, place, tag in zip(texts, part.column("place").to_pylist(), part.column("tag").to_pylist()):
                 hashes = _hashes(text)
                 if len(hashes) >= length:
@@ -112,7 +117,7 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield _emitted(held)
 
-    return docs.select("text", "place", "tag").mapInArrow(run, _SEED_SCHEMA)
+    return docs.select(column, "place", "tag").mapInArrow(run, _SEED_SCHEMA)
 
 
 def _open_runs(docs: DataFrame, length: int) -> DataFrame:
@@ -165,14 +170,14 @@ def _packed(docs: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, f"packed binary, {schema}")
 
 
-def located(docs: DataFrame) -> DataFrame:
+def located(docs: DataFrame, plain: bool) -> DataFrame:
     """Add ``place`` and ``tag``, which order documents and tell them apart.
 
     The place is the doc_id; rows without one come last.  Only where ids repeat or are missing are the rows of one id
     numbered by their text's hash; rows with the same id and the same text share a number and so count as one document.
     """
     placed = docs.withColumn("place", F.coalesce("doc_id", F.lit(NO_ID)))
-    if ids.plain(docs):
+    if plain:
         return placed.withColumn("tag", F.lit(0))
     placed = placed.withColumn("text_hash", F.xxhash64("text"))
     numbered = placed.select("place", "text_hash").distinct().withColumn(
@@ -184,7 +189,7 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(place, tag, known, open) of documents with shared anchors.
 
     ``known`` lists seeds that are repeats from end to end, as structs of the first run's start and the number of runs;
-    ``open`` lists the starts of the seeds that have to be extended.
+    ``open`` lists the starts of the seeds that have to be extended.  There has to be one row for each place and tag.
     """
     seeds = session.materialise(_ranked(_seeds(docs, length)).select(
         "known", F.when(~F.col("known"), F.col("anchor")).alias("anchor"), *_ORDER,
@@ -209,10 +214,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
     words.  All other columns are returned as they are, whatever their names; an empty table gives no rows.
     """
     payload = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column])
-    inner = located(docs.select(
-        F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"), payload.alias("row")))
-    marks = session.materialise(marked(inner, length), "marks")
+    given = docs.select(
+        F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"), payload.alias("row"))
+    plain = ids.plain(given)
+    inner = located(given, plain)
     key = ["place", "tag"]
+    # A repeated row would find its own seeds in its copy, so each document gives its seeds once.
+    once = inner if plain else _packed(inner.select("text", *key)).dropDuplicates(key)
+    marks = session.materialise(marked(once, length), "marks")
     waiting = marks.where(F.size("open") > 0).select(*key, "open")
     texts = _packed(inner.select("text", *key)).dropDuplicates(key)
     more = _ranked(_open_runs(texts.join(waiting, key), length)).where("known").groupBy(*key).agg(F.collect_list("start").alias("more"))

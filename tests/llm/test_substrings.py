@@ -62,6 +62,17 @@ def test_equal_ids_and_missing_ids(spark):
     assert [r.n_removed for r in cut if r.doc_id != 1] == [30, 30, 30]
 
 
+def test_repeated_rows_keep_their_text(spark):
+    """Equal rows are one document: words that occur in no other one stay, whichever tasks the copies are in."""
+    own, none, both = (" ".join(f"{c}{i}" for i in range(45)) for c in "own")
+    rows = [(1, own), (1, own), (None, none), (None, none), (2, both), (3, f"{both} end"), (3, f"{both} end")]
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        cut = [(r.doc_id, r.text, r.n_removed) for r in substrings.without_repeats(docs).collect()]
+        assert sorted(cut, key=str) == sorted(
+            [(1, own, 0), (1, own, 0), (None, none, 0), (None, none, 0), (2, both, 0), (3, "end", 45), (3, "end", 45)], key=str)
+
+
 def test_a_seed_for_every_run():
     rng = random.Random(1)
     import numpy as np
