@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capacast import session
-from capacast.llm import gam, language, licences, linecrf, mixing, roles, simhash, substrings, templates, toxicity
+from capacast.llm import (
+    gam, infill, language, licences, linecrf, mixing, packing, roles, simhash, substrings, templates, toxicity,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +72,17 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, folder, "documents"))
 
 
+def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, folder, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
     "op2_template_leaks": op2_template_leaks,
@@ -80,9 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_role_repair": op8_role_repair,
     "op9_additive_quality": op9_additive_quality,
     "op10_poisson_mix": op10_poisson_mix,
+    "op11_infill": op11_infill,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_licence_rules": licences.oracle_sql(),
     "op10_poisson_mix": mixing.oracle_sql(),
+    "op11_infill": infill.oracle_sql(),
 }
