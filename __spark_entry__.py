@@ -608,6 +608,7 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "latest_per_key": latest_per_key,
     "top1_per_key": top1_per_key,
     "site_timeline": lambda t: reports.site_timeline(t.features, "LF-"),
+    "site_running_total": lambda t: reports.site_running_total(t.features),
     "top_opportunities": lambda t: reports.top_opportunities(t.opportunities),
     "latest_summary": lambda t: serving.latest_summary(t.summaries),
     "activity_feed": lambda t: serving.activity_feed(t.log, t.features),

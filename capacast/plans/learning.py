@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_unit
 from ..operators.rows import require_not_null
+from ..operators.running import running
 from ..operators.selection import oversample, stratified_split
 from ..session import materialise, shared_folder
 
@@ -148,22 +149,16 @@ def importances(spark, model: PipelineModel, columns: Sequence[str]) -> DataFram
 def _auc(scored: DataFrame, label: str, score_column: str) -> DataFrame:
     """Exact area under the curve from counts per distinct score, in one row; rows without a score are left out.
 
-    The counts are sorted into ranges of scores.  A running count within each
-    range, plus the total of the ranges below, gives the negatives below a score.
+    A running count of the negatives over the distinct scores, without one task for all of them, gives those below a score.
     """
     counts = scored.where(F.col(score_column).isNotNull()).groupBy(F.col(score_column).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    ranged = materialise(counts.repartitionByRange("score").withColumn("range", F.spark_partition_id()), "scores")
-    before = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    fine = ranged.withColumn("below_inside", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    all_before = Window.partitionBy("one").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("range").agg(F.sum("neg").alias("n")).withColumn("one", F.lit(1)).select(
-        "range", F.coalesce(F.sum("n").over(all_before), F.lit(0)).alias("below_range"))
+    fine = running(counts, [], ["score"], {"below": ("sum", "neg")}, inclusive=False)
     # Twice the number of ordered pairs, so ties count as whole numbers.
     double_wins = F.col("pos").cast("decimal(18,0)") * (
-        (F.col("below_inside") + F.col("below_range")) * 2 + F.col("neg")).cast("decimal(19,0)")
+        F.col("below") * 2 + F.col("neg")).cast("decimal(19,0)")
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double") * 2
-    return fine.join(totals, "range").agg(
+    return fine.agg(
         F.round(F.coalesce(F.try_divide(F.sum(double_wins).cast("double"), pairs), F.lit(0.0)), 6).alias("auc"))
 
 

@@ -9,6 +9,7 @@ from ..functions.aggregates import exact_mean, exact_sum, sum_if
 from ..functions.scalars import burst_suffix, in_slice
 from ..operators.joins import join_unique
 from ..operators.ranking import latest_per_key, top_k
+from ..operators.running import running
 from .campaign import select_targets
 from .layers import latest_flagged_window
 
@@ -39,6 +40,18 @@ def site_timeline(features: DataFrame, prefix: str) -> DataFrame:
         "congestion_predicted_15min").orderBy("window_start", "tower_id")
 
 
+def site_running_total(features: DataFrame) -> DataFrame:
+    """Each site's series with what it has added up to: windows, flagged windows, connections at their peaks, and the highest
+    utilization so far.  A site of any number of windows is spread over tasks."""
+    series = running(features.select("tower_id", "window_start", "peak_connections", "peak_bandwidth_util",
+                                     F.col("congestion_predicted_15min").cast("bigint").alias("flagged")),
+                     ["tower_id"], ["window_start"], {
+        "windows_so_far": ("sum", F.lit(1).cast("bigint")), "flagged_so_far": ("sum", "flagged"),
+        "connections_so_far": ("sum", F.col("peak_connections").cast("bigint")),
+        "highest_util_so_far": ("max", "peak_bandwidth_util")})
+    return series.drop("flagged", "peak_connections", "peak_bandwidth_util")
+
+
 def event_arr(summaries: DataFrame) -> DataFrame:
     """Projected and protected yearly revenue per event."""
     return summaries.select("event_name", "projected_upsell_arr_usd", "arr_protected_from_churn_usd")

@@ -518,6 +518,11 @@ SELECTS = {
     "top1_per_key": "SELECT customer_id, slice_id, tower_id, utilization_pct FROM top_slice",
     "site_timeline": """SELECT tower_id, window_start, avg_bandwidth_util, congestion_predicted_15min
         FROM features WHERE tower_id LIKE 'LF-%'""",
+    "site_running_total": """SELECT tower_id, window_start, count(*) OVER so_far AS windows_so_far,
+        (sum(congestion_predicted_15min) OVER so_far)::BIGINT AS flagged_so_far,
+        (sum(peak_connections) OVER so_far)::BIGINT AS connections_so_far,
+        max(peak_bandwidth_util) OVER so_far AS highest_util_so_far
+        FROM features WINDOW so_far AS (PARTITION BY tower_id ORDER BY window_start)""",
     "top_opportunities": f"""SELECT company_name, customer_type, customer_segment,
         {rnd('utilization_pct', 1)} AS utilization_pct, breach_risk_level,
         {rnd('conversion_score', 3)} AS conversion_score,
