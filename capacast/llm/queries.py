@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from capacast import session
 from capacast.llm import (
     gam, infill, language, licences, linecrf, mixing, packing, roles, simhash, substrings, templates, toxicity,
+    trie,
 )
 
 
@@ -78,6 +79,10 @@ def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.build(*trie.spliced(trie.ordered(table(spark, folder, "conversations"))))
+
+
 def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_additive_quality": op9_additive_quality,
     "op10_poisson_mix": op10_poisson_mix,
     "op11_infill": op11_infill,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_packing": op13_packing,
 }
 
@@ -102,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_licence_rules": licences.oracle_sql(),
     "op10_poisson_mix": mixing.oracle_sql(),
     "op11_infill": infill.oracle_sql(),
+    "op12_prefix_trie": trie.oracle_sql(),
 }
