@@ -446,11 +446,16 @@ def stream_provision(t: Tables) -> DataFrame:
 
 
 def layer_refresh(t: Tables) -> DataFrame:
-    """All layers written to files, then brought up to date again without new input."""
-    folder = session.scratch(t.spark, "layers")
+    """All layers written to files from the older readings, then brought up to date with the newer ones, and once more
+    without new input."""
+    folder, raw = session.scratch(t.spark, "layers"), session.scratch(t.spark, "raw")
     settings = refresh.Settings(window_seconds=DAY, score_cut=SCORE_CUT, rollup_time="window_start")
-    for _ in range(2):
-        streams = {"telemetry": t.telemetry_stream(), "accounts": t.account_stream()}
+    time = F.unix_seconds(F.col("timestamp").cast("timestamp"))
+    middle = t.telemetry.agg((F.min(time) + F.max(time)) / 2).scalar()
+    for part in (F.coalesce(time < middle, F.lit(True)), time >= middle, None):
+        if part is not None:
+            tables.write_history(t.telemetry.where(part), raw, "timestamp", ["tower_id"])
+        streams = {"telemetry": tables.stream(t.spark, raw, t.telemetry.schema), "accounts": t.account_stream()}
         written = refresh.refresh(folder, streams, t.calendar, t.slices, at(AS_OF), settings)
     return written[refresh.REVENUE]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,10 +129,11 @@ def hottest_slice(slices: DataFrame) -> DataFrame:
         [F.desc("utilization_pct"), F.asc("slice_id")])
 
 
-def latest_flagged_window(features: DataFrame, score_cut: float = FLAGGED_SCORE) -> DataFrame:
-    """The newest window per site among those predicted or scored congested."""
+def latest_flagged_window(features: DataFrame, score_cut: float = FLAGGED_SCORE,
+                          keys: Sequence[str] = ("tower_id",)) -> DataFrame:
+    """The newest window per site (or other keys) among those predicted or scored congested."""
     flagged = features.where((F.col("congestion_predicted_15min") == 1) | (F.col("avg_congestion_score") > score_cut))
-    return latest_per_key(flagged, ["tower_id"], "window_start")
+    return latest_per_key(flagged, list(keys), "window_start")
 
 
 def account_opportunities(accounts: DataFrame, slices: DataFrame, features: DataFrame, scored_at: Column,

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.joins import new_rows_only
@@ -47,20 +47,53 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_history(df: DataFrame, path: str, time: str, keys: Sequence[str]) -> None:
-    """Append partitioned by day and sorted by key and time, for pruned time-range scans.
+def write_history(df: DataFrame, path: str, time: str, keys: Sequence[str], replace_days: bool = False) -> None:
+    """Write partitioned by day and sorted by key and time, for pruned time-range scans.
 
-    Adaptive execution cuts a busy day into as many tasks as its size asks for,
-    and puts quiet days together.
+    Rows are appended, or with ``replace_days`` take the place of all rows of their days; other days stay as they are.
+    Adaptive execution cuts a busy day into as many tasks as its size asks for, and puts quiet days together.
     """
     (
         df.withColumn("day", F.to_date(time))
         .hint("rebalance", "day")
         .sortWithinPartitions("day", *keys, time)
-        .write.mode("append").partitionBy("day").parquet(path)
+        .write.mode("overwrite" if replace_days else "append").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day").parquet(path)
     )
 
 
+def replace_days(df: DataFrame, path: str) -> None:
+    """Put rows, which bear their day, in the place of all rows of these days."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def read_history(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What ``write_history`` has written from rows of that schema, with their day; no rows if there is nothing yet."""
+    dated = StructType([*schema.fields, StructField("day", DateType())])
+    if not exists(spark, path):
+        return spark.createDataFrame([], dated)
+    return spark.read.schema(dated).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table of files at the path, on any file system that Spark reads."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def files_by_day(spark: SparkSession, path: str) -> DataFrame:
+    """(file, day) of a table partitioned by day, from its listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").load(path)
+    day = F.regexp_extract("path", r"/day=(\d{4}-\d{2}-\d{2})/", 1)
+    return files.select(F.col("path").alias("file"), F.to_date(F.nullif(day, F.lit(""))).alias("day"))
+
+
 def create_if_missing(spark: SparkSession, table: str, schema: StructType) -> None:
     """Create an empty Parquet table with declared columns unless it exists."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)

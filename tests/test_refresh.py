@@ -1,0 +1,142 @@
+"""Incremental refresh: only days that changed are rewritten, and the result is that of a full one."""
+
+from datetime import timedelta
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from capacast.plans import layers, refresh
+from capacast.sources import schemas, tables
+from tests.fixtures import START, account, capacity, reading
+
+DAY = 24 * 60
+
+
+class Feed:
+    def __init__(self, spark, base):
+        self.spark, self.raw, self.folder = spark, f"{base}/raw", f"{base}/layers"
+        self.put("accounts", schemas.ACCOUNTS, [account("C1")])
+        self.slices = spark.createDataFrame([capacity("S1", "C1", "A", 97.0)], schemas.schema(schemas.SLICES))
+        self.events = self.calendar(47.6)
+
+    def calendar(self, lat):
+        return self.spark.createDataFrame([("E", "Cup", "Field", lat, -122.33, START, START + timedelta(hours=2), 1000,
+                                            "sports", 2.0)], schemas.schema(schemas.EVENTS))
+
+    def put(self, name, ddl, rows):
+        self.spark.createDataFrame(rows, schemas.schema(ddl)).write.mode("append").parquet(f"{self.raw}/{name}")
+
+    def add(self, rows):
+        self.put("telemetry", schemas.TELEMETRY, rows)
+
+    def run(self):
+        def live(name, ddl):
+            return tables.stream(self.spark, f"{self.raw}/{name}", schemas.schema(ddl))
+        return refresh.refresh(
+            self.folder, {"telemetry": live("telemetry", schemas.TELEMETRY), "accounts": live("accounts", schemas.ACCOUNTS)},
+            self.events, self.slices, F.lit("2024-09-20").cast("timestamp_ntz"))
+
+    def days(self):
+        """Files by day folder."""
+        return {d.name: {f.name for f in d.glob("*.parquet")} for d in Path(f"{self.folder}/{refresh.FEATURES}").glob("day=*")}
+
+    def expected(self):
+        raw = self.spark.read.schema(schemas.schema(schemas.TELEMETRY)).parquet(f"{self.raw}/telemetry")
+        near = layers.event_proximity(self.events, raw)
+        return layers.congestion_features(layers.clean_telemetry(raw), near)
+
+    def check(self, written):
+        columns = self.expected().columns
+        assert written[refresh.FEATURES].columns == columns
+        assert sorted(map(tuple, written[refresh.FEATURES].collect())) == sorted(map(tuple, self.expected().collect()))
+        enriched = written[refresh.ENRICHED]
+        full = layers.account_opportunities(enriched, self.slices, self.expected(), F.lit("2024-09-20").cast("timestamp_ntz"))
+        assert sorted(map(tuple, written[refresh.OPPORTUNITIES].collect())) == sorted(map(tuple, full.collect()))
+
+
+@pytest.fixture
+def feed(spark, tmp_path):
+    return Feed(spark, tmp_path)
+
+
+def day_of(rows_days):
+    return "day=" + (START + timedelta(days=rows_days)).strftime("%Y-%m-%d")
+
+
+def test_a_new_day_rewrites_that_day_only(feed):
+    feed.add([reading("A", d * DAY + m, 50.0 + m + d) for d in range(3) for m in (0, 5, 11, 30)])
+    feed.check(feed.run())
+    before = feed.days()
+    feed.add([reading(s, 3 * DAY + m, 90.0) for s in "AB" for m in (0, 7)])
+    feed.check(feed.run())
+    after = feed.days()
+    assert {d for d in after if after[d] != before.get(d)} == {day_of(3)}
+    feed.check(feed.run())
+    assert feed.days() == after, "nothing new, nothing written"
+
+
+def test_late_rows_change_their_day_and_the_next_trend(feed):
+    feed.add([reading("A", d * DAY, 50.0 + d) for d in (0, 1, 4, 6)] + [reading("B", d * DAY, 40.0) for d in (0, 2, 6)])
+    feed.check(feed.run())
+    before = feed.days()
+    feed.add([reading("A", 1 * DAY + 30, 99.0)])
+    feed.check(feed.run())
+    after = feed.days()
+    assert {d for d in after if after[d] != before.get(d)} == {day_of(1), day_of(4)}
+    # A gap is filled: the next window on either side is of another day.
+    feed.add([reading("B", 4 * DAY, 10.0)])
+    feed.check(feed.run())
+
+
+def test_a_changed_calendar_rewrites_the_days_of_its_sites(feed):
+    feed.add([reading("A", d * DAY, 50.0) for d in range(2)])
+    feed.check(feed.run())
+    before = feed.days()
+    feed.events = feed.calendar(10.0)
+    written = feed.run()
+    feed.check(written)
+    assert {r.near_event_flag for r in written[refresh.FEATURES].collect()} == {0}
+    assert all(feed.days()[d] != before[d] for d in before)
+
+
+def test_a_day_no_longer_flagged(feed):
+    feed.add([reading("A", 0, 100.0)])
+    feed.check(feed.run())
+    feed.add([reading("A", m / 60, 1.0) for m in range(1, 50)])
+    written = feed.run()
+    feed.check(written)
+    assert written[refresh.OPPORTUNITIES].count() == 0
+
+
+def test_a_broken_run_is_made_up_for(feed, monkeypatch):
+    feed.add([reading("A", d * DAY, 50.0) for d in range(2)])
+    feed.run()
+    feed.add([reading("A", 2 * DAY, 90.0), reading("A", 5, 90.0)])
+    with monkeypatch.context() as patch:
+        def fails(*args, **kwargs):
+            raise RuntimeError("lost")
+        patch.setattr(tables, "replace_days", fails)
+        with pytest.raises(RuntimeError):
+            feed.run()
+    feed.check(feed.run())
+
+
+def test_only_changed_days_are_scanned(feed, monkeypatch):
+    feed.add([reading("A", d * DAY, 50.0) for d in range(3)])
+    feed.run()
+    scanned = []
+    original = layers.tumbling_features
+    monkeypatch.setattr(layers, "tumbling_features", lambda df, w: (scanned.append(df), original(df, w))[1])
+    feed.add([reading("A", 3 * DAY, 50.0)])
+    feed.run()
+    read = [df for df in scanned if df.count()]
+    assert [{r.day for r in df.select("day").distinct().collect()} for df in read] == [{(START + timedelta(days=3)).date()}]
+    plan = read[0]._jdf.queryExecution().executedPlan().toString()
+    assert "day#" in plan.split("PartitionFilters:")[1][:80]
+
+
+def test_windows_have_to_fit_into_days(feed):
+    feed.add([reading("A", 0, 50.0)])
+    with pytest.raises(ValueError):
+        refresh.refresh_features(feed.spark, feed.folder, None, None, refresh.Settings(window_seconds=7000))
