@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capacast import session
+from capacast.llm import ids
+from capacast.operators.joins import join_unique
+from capacast.operators.running import running
 
 PIECE = 16.0
 LONGEST = 80
@@ -58,13 +61,29 @@ def _table(rate: Column) -> tuple[Column, Column]:
     return draws, F.aggregate(F.sequence(F.lit(1), F.lit(LONGEST)), start, step, lambda state: state["cdf"])
 
 
+def _told_apart(whole: DataFrame, key: Column) -> DataFrame:
+    """Rows (column ``row``) with a ``tag``: null where the row has an id of its own, else the hash of the row and its
+    number among equal rows.  Only rows whose ids are missing or repeated are sorted."""
+    keyed = whole.withColumn("key", key)
+    if ids.plain(keyed, "key"):
+        return whole.withColumn("tag", F.lit(None).cast("string"))
+    repeated = keyed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "key", F.lit(True).alias("again"))
+    hashed = keyed.withColumn("hash", F.md5(F.to_json("row", {"ignoreNullFields": "false"})))
+    marked = join_unique(hashed, repeated, "key", ["hash"], "left")
+    shared = F.col("key").isNull() | F.coalesce("again", F.lit(False))
+    plain = marked.where(~shared).select("row", F.lit(None).cast("string").alias("tag"))
+    numbered = running(marked.where(shared).select("row", "hash"), ["hash"], [], {"number": ("sum", F.lit(1).cast("bigint"))})
+    return plain.union(numbered.select("row", F.concat_ws("/", "hash", F.col("number").cast("string"))))
+
+
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, power: float = 0.5,
                 seed: str = "mix", id_column: str = "doc_id", source_column: str = "source") -> DataFrame:
     """Every row as often as a Poisson number with its source's rate says, in globally shuffled order.
 
     Returns the columns of ``docs`` plus ``copy`` (from 1) and ``shuffle_key``; partitions, and the rows in them, are in
-    the order of hashes of seed, id and copy.  Equal ids draw the same number, rows without an id as if it were "null".
-    A rate of 0 leaves a source out; an empty table gives no rows.  Columns ``copy`` and ``shuffle_key`` of the input
+    the order of hashes of seed, id and copy.  Every row has a draw of its own: rows whose id is missing or repeated are told
+    apart by a hash of all their columns, and equal rows by a number.  A rate of 0 leaves a source out; an empty table gives no rows.  Columns ``copy`` and ``shuffle_key`` of the input
     are replaced.
 
     The table of rates has a row for each source.  It is broadcast if it has ``BROADCAST_SOURCES`` rows at most
@@ -79,14 +98,15 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, size:
     source, key = F.col("row").getField(source_column), F.col("row").getField(id_column)
 
     def drawn(total: Column, k: Column) -> Column:
-        u = unit(F.lit(seed), key, k)
+        u = F.when(F.col("tag").isNull(), unit(F.lit(seed), key, k)).otherwise(unit(F.lit(seed), key, F.col("tag"), k))
         return total + F.size(F.filter("cdf", lambda c: c <= u))
 
     count = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), drawn)
-    counted = whole.join(table, source.eqNullSafe(F.col("mix_source"))).select("row", count.alias("copies"))
-    copied = counted.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    rows = _told_apart(whole, key)
+    counted = rows.join(table, source.eqNullSafe(F.col("mix_source"))).select("row", "tag", count.alias("copies"))
+    copied = counted.where("copies > 0").select("row", "tag", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     order = F.md5(F.concat_ws(
-        "/", F.lit(seed), F.lit("order"), F.coalesce(key.cast("string"), F.lit("null")), F.col("copy")))
+        "/", F.lit(seed), F.lit("order"), F.coalesce(key.cast("string"), F.lit("null")), F.col("tag"), F.col("copy")))
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("copy", "shuffle_key")]
     keyed = copied.select(*kept, "copy", order.alias("shuffle_key"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -60,9 +60,32 @@ def test_odd_rows_and_native_plan(spark):
     assert mixed.columns == [c for c in docs.columns if c != "copy"] + ["copy", "shuffle_key"]
     found = mixed.collect()
     assert {r.doc_id for r in found} == {None, 1, 2, 3, 4, 5, 6, 7} and {r.source for r in found} == {None, "a", "b", "c"}
-    fours = Counter((r.source, r.copy) for r in found if r.doc_id == 4)
-    assert set(fours.values()) == {2}  # repeated rows draw alike
+    fours = Counter(r.copy for r in found if r.doc_id == 4)
+    assert fours[1] == 2 and min(fours.values()) == 1  # equal rows draw for themselves
+    assert len({r.shuffle_key for r in found}) == len(found)
     assert mixing.poisson_mix(brute.empty_documents(spark)).count() == 0
     assert mixing.poisson_mix(docs, {"nowhere": 1.0}).count() == 0
     plan = mixed._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("missing, same", [("null", "'t'"), ("null", "concat('t', id)"), ("7L", "'t'"), ("7L", "concat('t', id)")])
+def test_rows_without_ids_of_their_own_keep_their_rate(spark, missing, same):
+    web = spark.range(1000).selectExpr(f"{missing} as doc_id", f"{same} as text", "'web' as source")
+    book = spark.range(1000).selectExpr("id + 100 as doc_id", "'t' as text", "'book' as source")
+    mixed = mixing.poisson_mix(web.union(book), {"web": 1.0, "book": 9.0}, size=1.0)
+    counts = Counter(r.source for r in mixed.collect())
+    for source, rate in (("web", 0.2), ("book", 1.8)):
+        assert abs(counts[source] - 1000 * rate) < 3 * math.sqrt(1000 * rate)
+    plain = mixing.poisson_mix(book, {"book": 9.0}, size=1.8)
+    assert sorted((r.doc_id, r.copy) for r in plain.collect()) == sorted(
+        (r.doc_id, r.copy) for r in mixed.collect() if r.source == "book")
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_fifty_rows_without_ids_stay_in_the_mixture(spark):
+    docs = spark.range(50).selectExpr("null as doc_id", "concat('t', id) as text", "'web' as source").union(
+        spark.range(450).selectExpr("id as doc_id", "'t' as text", "'book' as source"))
+    found = Counter(r.source for r in mixing.poisson_mix(docs, {"web": 0.1, "book": 0.9}).collect())
+    assert abs(found["web"] - 50) < 3 * math.sqrt(50)
