@@ -14,8 +14,9 @@ def plain(docs: DataFrame, id_column: str = "doc_id") -> bool:
     return ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").isEmpty()
 
 
-def numbered(docs: DataFrame, name: str, id_column: str = "doc_id") -> DataFrame:
-    """The rows with a number in the order of their ids, rows without one last; written, so that the numbers stay."""
-    key = F.col(f"`{id_column}`")
-    ordered = docs.orderBy(key.asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return session.materialise(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered")
+def numbered(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(number, row): the rows as structs, numbered in the order of their ids, rows without one last; written, so that the
+    numbers stay."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    ordered = docs.select(row.alias("row")).orderBy(F.col("row").getField(id_column).asc_nulls_last(), F.xxhash64("row"))
+    return session.materialise(ordered.select(F.monotonically_increasing_id().alias("number"), "row"), "numbered")

@@ -36,7 +36,7 @@ FLUSH = 500_000
 
 _SEED_TYPES = [("anchor", np.uint64), ("span", np.uint64), ("place", np.int64), ("tag", np.int64),
                ("start", np.int64), ("runs", np.int64), ("known", np.bool_)]
-_SEED_SCHEMA = "anchor bigint, span bigint, place bigint, tag int, start int, runs int, known boolean"
+_SEED_SCHEMA = "anchor bigint, span bigint, place bigint, tag bigint, start int, runs int, known boolean"
 
 
 def _sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -83,7 +83,7 @@ def _emitted(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
     rows = _combined(rows, ["anchor", "span"])
     return pa.RecordBatch.from_arrays(
         [pa.array(rows["anchor"].view(np.int64)), pa.array(rows["span"].view(np.int64)), pa.array(rows["place"]),
-         *[pa.array(rows[k].astype(np.int32)) for k in ("tag", "start", "runs")], pa.array(rows["known"])],
+         pa.array(rows["tag"]), *[pa.array(rows[k].astype(np.int32)) for k in ("start", "runs")], pa.array(rows["known"])],
         [name for name, _ in _SEED_TYPES])
 
 
@@ -173,16 +173,11 @@ def _packed(docs: DataFrame) -> DataFrame:
 def located(docs: DataFrame, plain: bool) -> DataFrame:
     """Add ``place`` and ``tag``, which order documents and tell them apart.
 
-    The place is the doc_id; rows without one come last.  Only where ids repeat or are missing are the rows of one id
-    numbered by their text's hash; rows with the same id and the same text share a number and so count as one document.
+    The place is the doc_id; rows without one come last.  Only where ids repeat or are missing the rows of one id are
+    ordered by their text's hash, which is the tag; rows with the same id and the same text count as one document.
     """
     placed = docs.withColumn("place", F.coalesce("doc_id", F.lit(NO_ID)))
-    if plain:
-        return placed.withColumn("tag", F.lit(0))
-    placed = placed.withColumn("text_hash", F.xxhash64("text"))
-    numbered = placed.select("place", "text_hash").distinct().withColumn(
-        "tag", F.row_number().over(Window.partitionBy("place").orderBy("text_hash")))
-    return placed.join(numbered, ["place", "text_hash"]).drop("text_hash")
+    return placed.withColumn("tag", F.lit(0).cast("bigint") if plain else F.xxhash64("text"))
 
 
 def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -204,18 +199,11 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.collect_list("part").alias("known"), F.collect_list("begin").alias("open"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id",
-                    text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` with repeats cut out of the text, and n_words, n_removed (both bigint) added.
-
-    A word goes if it lies in a run of ``length`` words whose words also start earlier: in a document with a smaller id or
-    earlier in the same one, judged on the texts as given.  Rows with a null id count as last; rows of one id are ordered
-    by a hash of their text, and equal rows are one document and share its result.  A null text stays null and has no
-    words.  All other columns are returned as they are, whatever their names; an empty table gives no rows.
-    """
+def cut_rows(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(text, n_words, n_removed, row): ``without_repeats`` with the given columns, but for the text, in a struct."""
     payload = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column])
-    given = docs.select(
-        F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"), payload.alias("row"))
+    given = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.col(f"`{text_column}`").alias("text"),
+                        payload.alias("row"))
     plain = ids.plain(given)
     inner = located(given, plain)
     key = ["place", "tag"]
@@ -226,8 +214,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
     texts = _packed(inner.select("text", *key)).dropDuplicates(key)
     more = _ranked(_open_runs(texts.join(waiting, key), length)).where("known").groupBy(*key).agg(F.collect_list("start").alias("more"))
     full = _packed(inner.withColumn("missing", F.col("text").isNull()).drop("doc_id"))
-    cut = _cut(full.join(marks.select(*key, "known"), key, "left").join(more, key, "left"), length)
-    back = [F.col("text").alias(text_column) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return _cut(full.join(marks.select(*key, "known"), key, "left").join(more, key, "left"), length)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id",
+                    text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with repeats cut out of the text, and n_words, n_removed (both bigint) added.
+
+    A word goes if it lies in a run of ``length`` words whose words also start earlier: in a document with a smaller id or
+    earlier in the same one, judged on the texts as given.  Rows with a null id count as last; rows of one id are ordered
+    by a hash of their text, and equal rows are one document and share its result.  A null text stays null and has no
+    words.  All other columns are returned as they are, but columns n_words and n_removed of the input are replaced; an
+    empty table gives no rows.
+    """
+    cut = cut_rows(docs, length, id_column, text_column)
+    kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    back = [F.col("text").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in kept]
     return cut.select(*back, "n_words", "n_removed")
 
 

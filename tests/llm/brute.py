@@ -91,10 +91,13 @@ def odd_documents(spark):
         (6, "Zero width  spaces \x85 and\x1cothers", "en", "b", 1), (7, "\U0001F600 " * 40, "xx", "c", 80),
     ]
     extra = ("copy int, row string, rank int, fp string, span string, place string, tag string, known string, hash string, "
-             "text_hash string, score string, label string, held_out string, copies string, mix_source string, draws int")
+             "text_hash string, score string, label string, held_out string, copies string, mix_source string, draws int, "
+             "leak_id int, leak_hash string, n_words int, n_removed string, row_number int, number int, known_too int, "
+             "component_id int, missing int, packed int, n_matched int, kept int, declared int, host int, `again` int, key int")
     ddl = f"{DOCUMENTS}, {extra}"
-    blank = (None,) * (len(extra.split(",")))
-    return spark.createDataFrame([r + blank for r in rows], ddl)
+    kinds = [c.split()[1] for c in extra.split(",")]
+    filled = tuple(7 if kind == "int" else "7" for kind in kinds)
+    return spark.createDataFrame([r + (filled if i else (None,) * len(kinds)) for i, r in enumerate(rows)], ddl)
 
 
 def empty_documents(spark):

@@ -43,7 +43,7 @@ def test_a_passage_stays_where_it_comes_first(spark):
 def test_odd_rows(spark):
     docs = brute.odd_documents(spark)
     cut = substrings.without_repeats(docs)
-    assert cut.columns == [*docs.columns, "n_words", "n_removed"]
+    assert cut.columns == [c for c in docs.columns if c not in ("n_words", "n_removed")] + ["n_words", "n_removed"]
     found = cut.collect()
     assert len(found) == docs.count()
     for row in found:
@@ -80,3 +80,13 @@ def test_a_seed_for_every_run():
     found = substrings.seeds_of(hashes, 20)
     covered = [s + i for s, n in zip(found["start"], found["runs"]) for i in range(n)]
     assert covered == list(range(481))
+
+
+def test_no_window_over_the_rows_of_an_id(spark):
+    """Documents without ids are told apart by their text's hash, in no task of their own."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, f"only {i} {passage} here {i}") for i in range(12)]
+    placed = substrings.located(spark.createDataFrame(rows, "doc_id bigint, text string"), plain=False)
+    assert "Window" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    cut = substrings.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.n_removed for r in cut) == [0] + [31] * 11
