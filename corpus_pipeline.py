@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capacast import session
@@ -31,18 +31,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         classes = simhash.near_duplicates(docs)
         return docs.join(classes.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(
             *docs.columns)
-    rows = ids.numbered(docs, "row_number")
-    classes = simhash.near_duplicates(rows, "row_number")
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("row_number"))
-    return rows.join(first, "row_number", "left_semi").select(*docs.columns)
+    rows = ids.numbered(docs)
+    classes = simhash.near_duplicates(rows.select("number", "row.text"), "number")
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("number"))
+    return rows.join(first, "number", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out of the texts; a document that consists of nothing else goes."""
-    cut = substrings.without_repeats(docs).where("n_removed = 0 or n_removed < n_words")
-    return cut.select(*[
-        F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema[c].dataType).alias(c)
-        if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    cut = substrings.cut_rows(docs).where("n_removed = 0 or n_removed < n_words")
+
+    def column(name: str) -> Column:
+        given = F.col("text") if name == "text" else F.col("row").getField(name)
+        if name == "n_chars":
+            given = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(given).cast(docs.schema[name].dataType)
+        return given.alias(name)
+
+    return cut.select(*[column(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
