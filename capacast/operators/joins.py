@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import materialise
 from .ranking import top_per_key
 from .rows import require_not_null
+from .running import running
 
 SALTS = 16
 
@@ -45,27 +47,52 @@ def flag_keys(df: DataFrame, keys: DataFrame, key: str, out: str,
     return flagged.withColumn(out, F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
+def merged_spans(spans: DataFrame, key: str) -> DataFrame:
+    """Spans (key, _a, _b) of whole slots, both ends included, united where they overlap or touch.
+
+    A span opens a new stretch if it begins behind all that began before it; a stretch's number is a running count.
+    """
+    seen = running(spans.distinct(), [key], ["_a", "_b"], {"_reach": ("max", "_b")}, inclusive=False)
+    opens = F.coalesce(F.col("_a") > F.col("_reach") + 1, F.lit(True)).cast("bigint")
+    counted = running(seen.withColumn("opens", opens), [key], ["_a", "_b"], {"stretch": ("sum", "opens")})
+    return counted.groupBy(key, "stretch").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b")).drop("stretch")
+
+
+def dyadic_blocks(spans: DataFrame, key: str) -> DataFrame:
+    """(key, _level, _block): spans of slots as blocks of 2**level slots that begin at multiples of their length.
+
+    A level gives the blocks that lie within the span but not within a longer one that does: at most one at each end, so a
+    span of n slots has no more than 2 log2(n) + 2 of them.
+    """
+    levels = spans.withColumn("_level", F.explode(F.expr("sequence(0, length(bin(_b - _a + 1)))")))
+    inside = levels.withColumns({
+        "_low": F.expr("-shiftright(-_a, _level)"), "_high": F.expr("shiftright(_b + 1, _level) - 1")}).where("_low <= _high")
+    ends = F.array(F.when(F.pmod("_low", F.lit(2)) == 1, F.col("_low")), F.when(F.pmod("_high", F.lit(2)) == 0, F.col("_high")))
+    return inside.select(key, "_level", F.explode(F.array_compact(ends)).alias("_block")).distinct()
+
+
 def flag_windows_inside(df: DataFrame, spans: DataFrame, key: str, window_seconds: int, out: str,
                         start: str = "event_start_time", end: str = "event_end_time",
                         window_start: str = "window_start") -> DataFrame:
     """1 for windows of a key that lie inside one of the key's time spans, else 0.
 
-    Windows start at multiples of their length, so a span lists the windows it
-    holds and the test becomes an equality join instead of a range join.
+    Windows start at multiples of their length.  Spans are united and cut into dyadic blocks of windows, and a window looks
+    up the blocks that could hold it, one for each length in use, so the test is an equality join at a cost that grows with
+    the logarithm of a span's length.  Only keys that have spans are looked up.
     """
     length = F.lit(window_seconds)
     first = F.ceil(F.unix_micros(F.col(start).cast("timestamp")) / F.lit(1e6) / length).cast("bigint")
     last = F.floor(F.unix_micros(F.col(end).cast("timestamp")) / F.lit(1e6) / length).cast("bigint") - 1
-    slots = (
-        spans.select(key, start, end).distinct()
-        .select(key, first.alias("_a"), last.alias("_b"))
-        .where("_a <= _b")
-        .select(key, F.explode(F.sequence("_a", "_b")).alias("_slot"))
-        .distinct()
-        .withColumn("_hit", F.lit(1))
-    )
+    whole = spans.select(key, first.alias("_a"), last.alias("_b")).where(f"_a <= _b and `{key}` is not null")
+    blocks = materialise(dyadic_blocks(merged_spans(whole, key), key), "blocks")
+    levels = sorted(r[0] for r in blocks.select("_level").distinct().collect())  # 63 at most
     slot = F.floor(F.unix_micros(F.col(window_start).cast("timestamp")) / F.lit(1e6) / length).cast("bigint")
-    joined = df.withColumn("_slot", slot).join(slots, [key, "_slot"], "left")
+    slotted = df.withColumn("_slot", slot)
+    asked = slotted.select(key, "_slot").distinct().join(blocks.select(key).distinct(), key, "left_semi")
+    above = asked.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.expr("array(0)"))).withColumn(
+        "_block", F.expr("shiftright(_slot, _level)"))
+    hits = above.join(blocks, [key, "_level", "_block"], "left_semi").select(key, "_slot").distinct().withColumn("_hit", F.lit(1))
+    joined = slotted.join(hits, [key, "_slot"], "left")
     return joined.withColumn(out, F.coalesce("_hit", F.lit(0))).drop("_slot", "_hit")
 
 
