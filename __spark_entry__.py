@@ -18,7 +18,7 @@ from capacast.functions import scalars, scores  # noqa: E402
 from capacast.operators import joins, ranking, rows, selection  # noqa: E402
 from capacast.plans import campaign, layers, learning, refresh, reports, serving  # noqa: E402
 from capacast.sources import bindings, schemas, tables  # noqa: E402
-from capacast.streaming import jobs  # noqa: E402
+from capacast.streaming import jobs, loop, trends  # noqa: E402
 
 try:  # the training-data operators are an optional part
     import corpus_pipeline  # noqa: E402
@@ -409,7 +409,7 @@ def stream_tumbling(t: Tables) -> DataFrame:
 
 def stream_trend(t: Tables) -> DataFrame:
     """Trends of the windows that each of two runs closes; new files arrive in between."""
-    raw, windows, marks, trends = (session.scratch(t.spark, n) for n in ("raw", "windows", "marks", "trends"))
+    raw, windows, marks, out = (session.scratch(t.spark, n) for n in ("raw", "windows", "marks", "trends"))
     time = F.unix_seconds(F.col("timestamp").cast("timestamp"))
     middle = t.telemetry.agg((F.min(time) + F.max(time)) / 2).scalar()
     since = at("1900-01-01")
@@ -417,10 +417,25 @@ def stream_trend(t: Tables) -> DataFrame:
         tables.append(t.telemetry.where(part), raw)
         stream = jobs.tumbling_stream(jobs.clean_stream(tables.stream(t.spark, raw, t.telemetry.schema)), HOUR)
         closed = naive_times(jobs.run_to_files(stream, windows, marks))
-        tables.append(jobs.trends_of_new(closed, since), trends)
+        tables.append(jobs.trends_of_new(closed, since), out)
         newest = closed.agg(F.max("window_end")).scalar()
         since = F.coalesce(newest, at("1900-01-01"))
-    return t.spark.read.parquet(trends)
+    return t.spark.read.parquet(out)
+
+
+def stream_trend_stateful(t: Tables) -> DataFrame:
+    """Trends kept on the stream over three runs; some readings arrive a run late."""
+    raw, out, marks = (session.scratch(t.spark, n) for n in ("raw", "trends", "marks"))
+    time = F.unix_seconds(F.col("timestamp").cast("timestamp"))
+    low, high = t.telemetry.agg(F.min(time), F.max(time)).first()
+    step = ((high or 0) - (low or 0)) / 3 + 1
+    delayed = F.when(F.pmod(time, F.lit(3)) == 0, 300).otherwise(0)  # up to five minutes, within the watermark
+    run = F.coalesce(F.least(F.lit(2), F.floor((time - (low or 0) + delayed) / step)), F.lit(0))
+    for number in range(3):
+        tables.append(t.telemetry.where(run == number), raw)
+        windows = jobs.tumbling_stream(jobs.clean_stream(tables.stream(t.spark, raw, t.telemetry.schema)), HOUR)
+        found = jobs.run_to_files(trends.trend_stream(windows), out, marks)
+    return naive_times(found)
 
 
 def stream_latest(t: Tables) -> DataFrame:
@@ -445,6 +460,21 @@ def stream_provision(t: Tables) -> DataFrame:
     return t.spark.read.schema(t.slices.schema).parquet(path).where(F.col("slice_id").startswith("BURST-"))
 
 
+def stream_provision_loop(t: Tables) -> DataFrame:
+    """Opportunities after three turns of the closed loop, each of which reads the windows that are new to it."""
+    raw, out, marks, progress, slices = (
+        session.scratch(t.spark, n) for n in ("raw", "windows", "marks", "progress", "slices"))
+    time = F.unix_seconds(F.col("timestamp").cast("timestamp"))
+    low, high = t.telemetry.agg(F.min(time), F.max(time)).first()
+    run = F.coalesce(F.least(F.lit(2), F.floor((time - (low or 0)) * 3 / ((high or 0) - (low or 0) + 1))), F.lit(0))
+    for number in range(3):
+        tables.append(t.telemetry.where(run == number), raw)
+        windows = jobs.tumbling_stream(jobs.clean_stream(tables.stream(t.spark, raw, t.telemetry.schema)), DAY)
+        landed = naive_times(jobs.run_to_files(trends.trend_stream(windows), out, marks, by_day="window_start"))
+        found = loop.step(landed, progress, t.near_sites, t.enriched, t.slices, slices, at(AS_OF), SCORE_CUT)
+    return found
+
+
 def layer_refresh(t: Tables) -> DataFrame:
     """All layers written to files from the older readings, then brought up to date with the newer ones, and once more
     without new input."""
@@ -624,8 +654,10 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "stream_enrich": stream_enrich,
     "stream_tumbling": stream_tumbling,
     "stream_trend": stream_trend,
+    "stream_trend_stateful": stream_trend_stateful,
     "stream_latest": stream_latest,
     "stream_provision": stream_provision,
+    "stream_provision_loop": stream_provision_loop,
     "layer_refresh": layer_refresh,
     "ml_feature_table": lambda t: t.training,
     "future_label": lambda t: learning.future_label(t.features).select(

@@ -86,6 +86,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def _version(spark: SparkSession, path: str) -> int:
+    if not exists(spark, f"{path}/versions"):
+        return 0
+    return spark.read.schema("version int").parquet(f"{path}/versions").agg(F.max("version")).first()[0] or 0
+
+
+def current_version(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows that ``add_version`` has written last; none at first."""
+    number = _version(spark, path)
+    if not number:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/v{number}")
+
+
+def add_version(df: DataFrame, path: str) -> None:
+    """Write a table anew beside its former version, which ``df`` may read, and then make it the current one.
+
+    What a broken attempt has left is replaced, as only a version that is listed counts.
+    """
+    number = _version(df.sparkSession, path) + 1
+    overwrite(df, f"{path}/v{number}")
+    append(df.sparkSession.createDataFrame([(number,)], "version int"), f"{path}/versions")
+
+
 def files_by_day(spark: SparkSession, path: str) -> DataFrame:
     """(file, day) of a table partitioned by day, from its listing alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(

@@ -550,10 +550,12 @@ SELECTS = {
     "stream_enrich": "SELECT * FROM enriched",
     "stream_tumbling": "SELECT * FROM closed",
     "stream_trend": trended("closed"),
+    "stream_trend_stateful": trended("closed"),
     "stream_latest": """SELECT tower_id, timestamp, bandwidth_utilization_pct, congestion_score FROM cleaned
         QUALIFY row_number() OVER (PARTITION BY tower_id ORDER BY timestamp DESC, bandwidth_utilization_pct DESC,
           congestion_score DESC) = 1""",
     "stream_provision": provisioned("closed_opportunities") + " WHERE conversion_score >= 0.65",
+    "stream_provision_loop": "SELECT * FROM closed_opportunities",
     "layer_refresh": "SELECT * FROM rollup",
     # Learning
     "ml_feature_table": "SELECT * FROM ml_table",

@@ -1,0 +1,113 @@
+"""The trend as keyed state and the closed loop with its progress, run by run."""
+
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from capacast.operators import joins
+from capacast.plans import layers
+from capacast.sources import schemas, tables
+from capacast.streaming import jobs, loop, trends
+from tests.fixtures import START, account, capacity, reading, table
+from tests.test_layers import as_of
+from tests.test_streaming import closed_batch, land, minutes, rows_of, telemetry_schema
+
+DAY = 24 * 60
+
+
+def naive(df):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+def landed(spark, raw, out, marks, **options):
+    windows = jobs.tumbling_stream(jobs.clean_stream(tables.stream(spark, raw, telemetry_schema())))
+    return naive(jobs.run_to_files(trends.trend_stream(windows, **options), out, marks, by_day="window_start"))
+
+
+def test_state_gives_the_batch_trend(spark, tmp_path):
+    raw, out, marks = (str(tmp_path / n) for n in ("raw", "out", "marks"))
+    parts = [minutes(0, 32) + minutes(3, 9, "B"), minutes(32, 50) + [reading("A", 24, 77.0), reading("B", 27, 5.0)],
+             minutes(70, 95) + minutes(60, 95, "B") + [reading("A", 1, 99.0)]]
+    for part in parts:
+        land(spark, part, raw)
+        found = landed(spark, raw, out, marks)
+    expected = layers.with_trends(closed_batch(spark, raw).where(F.col("window_start") > F.lit(START)))
+    later = found.drop("day").where(F.col("window_start") > F.lit(START))  # a late reading for the first window is dropped
+    trend = [c for c in later.columns if c.endswith("trend_15min")]
+    second = later.groupBy("tower_id").agg(F.min("window_start").alias("window_start"))
+    assert rows_of(later.join(second, ["tower_id", "window_start"], "left_anti").select(expected.columns)) == rows_of(
+        expected.join(second, ["tower_id", "window_start"], "left_anti"))
+    assert any(r[c] for r in later.collect() for c in trend)
+
+
+def test_a_silent_site_is_forgotten(spark, tmp_path):
+    raw, out, marks = (str(tmp_path / n) for n in ("raw", "out", "marks"))
+    for part in (minutes(0, 30) + minutes(0, 30, "B"), minutes(30, 3 * DAY, "B")[::60], minutes(3 * DAY, 3 * DAY + 60),
+                 minutes(3 * DAY + 60, 3 * DAY + 120)):
+        land(spark, part, raw)
+        found = landed(spark, raw, out, marks, expire_days=1)
+    back = found.where((F.col("tower_id") == "A") & (F.col("window_start") >= F.lit(START + timedelta(days=3)))).orderBy(
+        "window_start").collect()
+    assert back[0].bandwidth_trend_15min == 0.0 and back[1].bandwidth_trend_15min != 0.0
+
+
+class Loop:
+    def __init__(self, spark, base):
+        self.spark = spark
+        self.raw, self.out, self.marks, self.progress, self.bursts = (
+            str(base / n) for n in ("raw", "out", "marks", "progress", "bursts"))
+        self.accounts = layers.enrich_accounts(table(spark, schemas.ACCOUNTS, [account("C1"), account("C2")]))
+        self.slices = table(spark, schemas.SLICES, [capacity("S1", "C1", "A", 97.0), capacity("S2", "C2", "B", 88.0)])
+        self.near = self.accounts.limit(0).select(F.lit("A").alias("tower_id"))
+
+    def windows(self, rows):
+        land(self.spark, rows, self.raw)
+        return landed(self.spark, self.raw, self.out, self.marks)
+
+    def step(self, windows):
+        return loop.step(windows, self.progress, self.near, self.accounts, self.slices, self.bursts, as_of(), 20)
+
+    def expected(self):
+        return jobs.opportunities_of_closed(
+            closed_batch(self.spark, self.raw), self.near, self.accounts, self.slices, as_of(), 20)
+
+    def provisioned(self):
+        return sorted(r.slice_id for r in self.spark.read.schema(self.slices.schema).parquet(self.bursts).collect())
+
+
+@pytest.fixture
+def turning(spark, tmp_path):
+    return Loop(spark, tmp_path)
+
+
+def test_each_turn_gives_what_all_windows_would(turning, monkeypatch):
+    seen = []
+    original = loop.advanced
+    monkeypatch.setattr(loop, "advanced", lambda p, f, c: (seen.append(f), original(p, f, c))[1])
+    parts = (minutes(0, 60), minutes(60, 120, "B") + minutes(60, 80), minutes(2 * DAY, 2 * DAY + 50))
+    for part in parts:
+        found = turning.step(turning.windows(part))
+        assert rows_of(found) == rows_of(turning.expected())
+    assert seen[2].agg(F.min("window_start")).first()[0] > START + timedelta(minutes=60)
+    plan = seen[2]._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(window_end" in plan or "window_end" in plan.split("PushedFilters:")[1][:200]
+    assert "day#" in plan.split("PartitionFilters:")[1][:120]
+    assert len(set(turning.provisioned())) == len(turning.provisioned()) > 0
+
+
+def test_a_broken_turn_adds_nothing_twice(turning, monkeypatch):
+    windows = turning.windows(minutes(0, 60))
+    with monkeypatch.context() as patch:
+        def fails(*args):
+            raise RuntimeError("lost")
+        patch.setattr(tables, "add_version", fails)
+        with pytest.raises(RuntimeError):
+            turning.step(windows)
+    first = turning.provisioned()
+    assert first
+    found = turning.step(windows)
+    assert turning.provisioned() == first and rows_of(found) == rows_of(turning.expected())
+    again = turning.step(windows)
+    assert turning.provisioned() == first and rows_of(again) == rows_of(found)
+    assert joins.distinct_sites(turning.spark.read.schema(telemetry_schema()).parquet(turning.raw)).count() == 1
