@@ -29,6 +29,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remaind
         F.broadcast(picked), F.col("doc_id") == F.col("labelled_id")).select("text", "label")
 
 
+def sample_once(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, bound: int) -> DataFrame:
+    """``sample`` with one row for each id, that of the smallest text hash, in the order of label and id.
+
+    Each task passes on one row of an id, so an id that many rows share sends few of them.
+    """
+    taken = sample(docs.withColumn("text", F.struct(F.xxhash64("text").alias("hash"), "text", "doc_id")), labels, label,
+                   modulus, remainder, bound)
+    once = taken.groupBy("label", F.col("text.doc_id").alias("doc_id")).agg(F.min("text").alias("first"))
+    return once.orderBy("label", "doc_id").select("first.text", "label")
+
+
 def logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 1.0, steps: int = 40) -> np.ndarray:
     """Weights of a logistic regression by Newton's method, the last one being the intercept."""
     x = np.column_stack([features, np.ones(len(features))])

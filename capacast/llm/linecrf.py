@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capacast.llm.labelled import sample
+from capacast.llm.labelled import logistic, sample_once
 from capacast.llm.textstats import Stats, stats
 from capacast.llm.words import pieces
 
 SAMPLE = 3000
 CONTENT_SHARE = 0.5
+ROUNDS, RUN, RUNS = 4, 128, 4
 CONTENT, BOILERPLATE = 0, 1
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -76,12 +77,13 @@ def decode(found: Stats, model: Model) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int8)
 
 
-def train(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 150, penalty: float = 1e-3) -> Model:
+def train(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 150, penalty: float = 1e-3,
+          start: Model | None = None) -> Model:
     """Weights of highest conditional likelihood, by gradient ascent over all sequences at once.
 
-    Without lines of both labels the fixed starting weights stay.
+    Without lines of both labels the starting weights stay.
     """
-    model = Model()
+    model = start or Model()
     used = [(x, y) for x, y in zip(sequences, labels) if len(x)]
     if len({int(label) for _, y in used for label in y}) < 2:
         return model
@@ -101,6 +103,61 @@ def train(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 15
     return Model(theta[:-4], theta[-4:].reshape(2, 2))
 
 
+@dataclass
+class Lines:
+    """A run of lines of a labelled document: features, words, whether each repeats an earlier line."""
+
+    x: np.ndarray
+    words: np.ndarray
+    again: np.ndarray
+    bad: bool
+
+
+def bounded(labels: np.ndarray, scores: np.ndarray, lines: Lines, share: float = CONTENT_SHARE) -> np.ndarray:
+    """Labels that agree with the document's own: at least ``share`` of the words of a good one are content, less of a bad
+    one.  Lines change their label in the order of their scores, and only as many as it takes; repeated lines keep it."""
+    labels = labels.copy()
+    labels[lines.again] = BOILERPLATE
+    order = np.argsort(-scores if lines.bad else scores, kind="stable")
+    total = lines.words.sum()
+    for i in order.tolist():
+        content = lines.words[labels == CONTENT].sum()
+        if (content < share * total) == lines.bad:
+            break
+        if not lines.again[i]:
+            labels[i] = BOILERPLATE if lines.bad else CONTENT
+    return labels
+
+
+def learn(runs: list[Lines], rounds: int = ROUNDS) -> Model:
+    """A field for lines from labels of documents, by turns of labelling and training.
+
+    A first guess for lines of bad documents is whether a logistic model, which sees each line by itself, finds them unlike
+    lines of good ones.  Then the field labels all lines, within what the documents' labels allow, and is trained on the
+    result.
+    """
+    runs = [r for r in runs if len(r.x)]
+    if len({r.bad for r in runs}) < 2:
+        return Model()
+    x = np.concatenate([r.x[:, :-1] for r in runs])
+    from_bad = np.concatenate([np.full(len(r.x), r.bad) for r in runs]).astype(float)
+    weights = logistic(x, from_bad)
+    model, labels = Model(), []
+    for r in runs:
+        scores = r.x[:, :-1] @ weights[:-1] + weights[-1]
+        labels.append(bounded((scores > 0).astype(np.int8) if r.bad else np.zeros(len(r.x), np.int8), scores, r))
+    for turn in range(rounds):
+        model = train([r.x for r in runs], labels, 150 if turn == 0 else 50, start=model)
+        found = []
+        for r in runs:
+            scores = r.x @ model.weights
+            found.append(bounded(viterbi(scores, model.moves), scores, r))
+        if all((a == b).all() for a, b in zip(labels, found)):
+            break
+        labels = found
+    return model
+
+
 def _gradient(theta: np.ndarray, x: list[np.ndarray], y: list[np.ndarray], counts: list[int]) -> np.ndarray:
     """Observed minus expected features, by the forward and backward recursions."""
     weights, moves = theta[:-4], np.exp(theta[-4:].reshape(2, 2))
@@ -127,29 +184,35 @@ def _gradient(theta: np.ndarray, x: list[np.ndarray], y: list[np.ndarray], count
     return np.concatenate([slope, turns.ravel()])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
-    """Train on the lines of at most ``bound`` documents of good and of bad quality.
+def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, run_lines: int = RUN, runs: int = RUNS) -> Model:
+    """Train on lines of at most ``bound`` documents of good and of bad quality; see ``learn``.
 
-    The tables label documents, not lines: a line counts as boilerplate if its document is of bad quality or if an equal
-    line came earlier in the document.  Only line features of the sample reach the driver.
+    One row of an id counts.  A document gives up to ``runs`` runs of ``run_lines`` lines, evenly spread over it.  Only line
+    features of the sample reach the driver, at most bound * 2 * runs * run_lines rows of them.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches):
             found = stats(texts)
-            bad = np.asarray(part.column("label").to_pylist())[found.line["doc"]] == 0
             rows = line_features(found)
-            split = np.searchsorted(found.line["doc"], np.arange(1, len(texts)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r.ravel().tolist() for r in np.split(rows, split)], pa.list_(pa.float64())),
-                 pa.array([m.tolist() for m in np.split((bad | found.line["again"]).astype(np.int64), split)],
-                          pa.list_(pa.int64()))], ["x", "y"])
-
-    sequences, marks = [], []
-    for row in sample(docs, labels, "quality", 1, -1, bound).mapInArrow(
-            run, "x array<double>, y array<bigint>").toLocalIterator():
-        sequences.append(np.array(row.x).reshape(-1, len(FEATURES)))
-        marks.append(np.array(row.y, np.int64))
-    return train(sequences, marks)
+            marks = part.column("label").to_pylist()
+            edges = np.searchsorted(found.line["doc"], np.arange(len(texts) + 1))
+            taken = []
+            for d, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                starts = np.arange(low, high, run_lines)
+                for s in starts[np.unique(np.linspace(0, len(starts) - 1, min(runs, len(starts))).astype(int))].tolist():
+                    taken.append((s, min(s + run_lines, high), marks[d] == 0))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([rows[a:b].ravel().tolist() for a, b, _ in taken], pa.list_(pa.float64())),
+                pa.array([found.line["words"][a:b].tolist() for a, b, _ in taken], pa.list_(pa.int64())),
+                pa.array([found.line["again"][a:b].astype(bool).tolist() for a, b, _ in taken], pa.list_(pa.bool_())),
+                pa.array([bad for _, _, bad in taken], pa.bool_())], ["x", "words", "again", "bad"])
+
+    listed = []
+    for row in sample_once(docs, labels, "quality", 1, -1, bound).mapInArrow(
+            run, "x array<double>, words array<bigint>, again array<boolean>, bad boolean").toLocalIterator():
+        listed.append(Lines(np.array(row.x).reshape(-1, len(FEATURES)), np.array(row.words, np.int64),
+                            np.array(row.again, bool), row.bad))
+    return learn(listed)
 
 
 def judge(docs: DataFrame, model: Model, share: float = CONTENT_SHARE, with_text: bool = False,
