@@ -113,7 +113,7 @@ def test_catalog_tables(spark):
     sent = campaign.proposals(campaign.select_targets(opportunities(spark)), as_of(), "P-")
     shuffled = sent.select(*reversed(sent.columns))
     for _ in range(2):
-        tables.insert_new(shuffled, "proposal_log", ["proposal_id"])
+        tables.insert_new(shuffled, "proposal_log", ["proposal_id", "customer_id"])
     stored = spark.table("proposal_log")
     assert stored.count() == 2 and stored.schema["sent_at"].dataType.typeName() == "timestamp"
     assert {r.customer_id for r in stored.collect()} == {"C1", "C2"}
