@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capacast.llm.labelled import held_out, sample
+from capacast.llm.labelled import held_out, sample_once
 from capacast.llm.textstats import stats
 from capacast.llm.words import pieces
 
@@ -157,13 +157,13 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
-    """Train on the features of at most ``bound`` documents of each label that are not held out."""
+    """Train on the features of at most ``bound`` documents of each label that are not held out, one row an id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(features(texts).tolist(), pa.list_(pa.float64())), part.column("label")], ["x", "y"])
 
-    rows = list(sample(docs, labels, "quality", FOLDS, HELD_OUT, bound).mapInArrow(
+    rows = list(sample_once(docs, labels, "quality", FOLDS, HELD_OUT, bound).mapInArrow(
         run, "x array<double>, y int").toLocalIterator())
     rows.sort(key=lambda r: (r.y, r.x))  # the order of partitions must not matter
     return train(np.array([r.x for r in rows]), np.array([r.y for r in rows], float))

@@ -40,6 +40,14 @@ def sample_once(docs: DataFrame, labels: DataFrame, label: str, modulus: int, re
     return once.orderBy("label", "doc_id").select("first.text", "label")
 
 
+def spread(text: Column, limit: int, parts: int = 8) -> Column:
+    """A text of more than ``limit`` characters as that many in evenly spread parts, joined by blanks; others as they are."""
+    size = limit // parts
+    room = F.char_length(text).cast("bigint") - size
+    cuts = [F.substr(text, (1 + room * i / (parts - 1)).cast("int"), F.lit(size)) for i in range(parts)]
+    return F.when(F.char_length(text) > limit, F.concat_ws(" ", *cuts)).otherwise(text)
+
+
 def logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 1.0, steps: int = 40) -> np.ndarray:
     """Weights of a logistic regression by Newton's method, the last one being the intercept."""
     x = np.column_stack([features, np.ones(len(features))])

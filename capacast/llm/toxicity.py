@@ -17,12 +17,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capacast.llm.labelled import held_out, logistic, logistic_score, sample
+from capacast.llm.labelled import held_out, logistic, logistic_score, sample_once, spread
 from capacast.llm.words import pieces
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-SAMPLE = 4000
+SAMPLE, SAMPLE_CHARS = 4000, 1 << 14
 GRAM = 6
 LEAST = 8
 PURITY = 25
@@ -162,12 +162,19 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
-    """Train on at most ``bound`` documents of each label that are not held out."""
-    rows = sample(docs, labels, "toxic", FOLDS, HELD_OUT, bound).select(
-        F.coalesce("text", F.lit("")).alias("text"), "label").toLocalIterator()
+def training(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(text, label) of at most ``bound`` documents of each label that are not held out, one row an id.
+
+    Of a text above ``chars`` characters, that many are taken from all over it; so is the size of the whole bounded.
+    """
+    cut = docs.select("doc_id", spread(F.coalesce("text", F.lit("")), chars).alias("text"))
+    return sample_once(cut, labels, "toxic", FOLDS, HELD_OUT, bound)
+
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """Train on ``training`` rows, in their order, so that the layout of the tables does not matter."""
     texts, marks = [], []
-    for row in rows:
+    for row in training(docs, labels, bound, chars).toLocalIterator():
         texts.append(row.text.encode())
         marks.append(row.label)
     return train(texts, marks)

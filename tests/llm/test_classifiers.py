@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from capacast.llm import gam, linecrf, toxicity
-from capacast.llm.labelled import logistic, logistic_score, sample
+from capacast.llm.labelled import logistic, logistic_score, sample, spread
 from capacast.llm.queries import QUERIES
 
 from . import brute
@@ -176,3 +176,25 @@ def test_logistic_finds_the_slope():
     w = logistic(x, y)
     assert abs(w[0] - 2) < 0.3 and abs(w[1]) < 0.2 and abs(w[2] + 1) < 0.2
     assert logistic_score(np.array([[0.5, 0.0]]), np.array([2.0, 0.0, -1.0]))[0] == 0.5
+
+
+def test_spread_takes_parts_from_all_over_a_text(spark):
+    texts = [None, "", "short", "x" * 80, "".join(chr(97 + i // 1000) for i in range(20000))]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in frame.select(spread(frame.text, 80)).collect()]
+    assert got[:4] == texts[:4]
+    assert got[4].split(" ") == [texts[4][19990 * i // 7:][:10] for i in range(8)]
+
+
+def test_training_rows_are_bounded_by_id_and_size(spark):
+    """A labelled id that most rows bear and very long texts send one bounded row each."""
+    docs = [(1, f"some toxic text {i}") for i in range(900)] + [(2, "very long text " * 200_000), (3, None), (None, "no id")]
+    docs = spark.createDataFrame(docs + [(i, f"text {i}") for i in range(4, 60)], "doc_id bigint, text string").repartition(5)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id bigint, toxic int")
+    used = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    found = toxicity.training(docs, marks, chars=1000).collect()
+    assert len(found) == len(used) and max(len(r.text) for r in found) <= 1007
+    assert [r.label for r in found] == sorted(i % 2 for i in used)
+    assert found == toxicity.training(docs.repartition(3), marks.repartition(2), chars=1000).collect()
+    model, again = (toxicity.fit(d, marks) for d in (docs, docs.repartition(3)))
+    assert model.toxic == again.toxic and (model.weights == again.weights).all()
