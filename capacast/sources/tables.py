@@ -6,8 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import (
+    ByteType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructField, StructType,
+    TimestampNTZType,
+)
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 
 from ..operators.joins import new_rows_only
 from ..operators.rows import conform
@@ -34,9 +38,67 @@ def stream(spark: SparkSession, path: str, schema: StructType | str,
     return reader.parquet(path)
 
 
+WIDER = [
+    (ByteType(), ShortType()), (ShortType(), IntegerType()), (IntegerType(), LongType()), (IntegerType(), DoubleType()),
+    (FloatType(), DoubleType()), (DateType(), TimestampNTZType()),
+]
+
+
+def widened(one: DataType, other: DataType) -> DataType:
+    """The narrowest type that holds all values of both and that the Parquet reader gives for either."""
+    def reach(kind: DataType) -> list[DataType]:
+        found = [kind]
+        for narrow in found:
+            found += [wide for low, wide in WIDER if low == narrow and wide not in found]
+        return found
+
+    held = reach(other)
+    for kind in reach(one):
+        if kind in held:
+            return kind
+    if {one, other} <= {ByteType(), ShortType(), IntegerType(), FloatType(), DoubleType()}:
+        return DoubleType()
+    raise TypeError(f"no type holds both {one.simpleString()} and {other.simpleString()} without loss")
+
+
+def _agreeing(spark: SparkSession, path: str, *files: str) -> DataFrame | None:
+    """The files (all below the path by default) as one table, or None if a column has differing types in them."""
+    try:
+        return spark.read.option("mergeSchema", "true").option("basePath", path).parquet(*(files or (path,)))
+    except (PySparkException, Py4JJavaError) as problem:  # the latter if tasks have found it
+        if "CANNOT_MERGE" not in str(problem):
+            raise
+        return None
+
+
+def _schemas(spark: SparkSession, path: str, files: list[str]) -> list[StructType]:
+    """Schemas of groups of files that agree; a group that does not is halved."""
+    found = _agreeing(spark, path, *files)
+    if found is not None:
+        return [found.schema]
+    middle = len(files) // 2
+    return _schemas(spark, path, files[:middle]) + _schemas(spark, path, files[middle:])
+
+
 def merged(spark: SparkSession, path: str) -> DataFrame:
-    """Read files written with different column sets as one table."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    """Read files written with different column sets and types as one table; a column has the widest of its types.
+
+    Columns missing in a file read null.  Spark merges what agrees.  Otherwise files are taken in order of their age, in
+    which types change seldom, and halved until a group agrees: about log(files) inferences for each change of type.  The
+    files are then read in one scan, as the Parquet reader widens values itself.  Types without a common wider one, such as
+    bigint and double, fail.
+    """
+    alike = _agreeing(spark, path)
+    if alike is not None:
+        return alike
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").load(path).select("path", "modificationTime").collect()
+    files = [r.path for r in sorted(listed, key=lambda r: (r.modificationTime, r.path))]
+    kinds: dict[str, DataType] = {}
+    for schema in _schemas(spark, path, files):
+        for field in schema:
+            kinds[field.name] = widened(kinds.get(field.name, field.dataType), field.dataType)
+    return spark.read.schema(StructType([StructField(name, kind) for name, kind in kinds.items()])).parquet(path)
 
 
 def overwrite(df: DataFrame, path: str) -> None:

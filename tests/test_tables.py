@@ -24,6 +24,31 @@ def test_append_and_merged_schema(spark, tmp_path):
     assert sorted(found.columns) == ["extra", "id"] and found.where("extra IS NULL").count() == 2
 
 
+def test_merged_widens_types(spark, tmp_path):
+    """Files with int, double and absent columns, over days, in turns."""
+    path = str(tmp_path / "t")
+    parts = ["id as x, cast(id as int) as y", "id as x, id + 0.5D as y", "id as x", "id as x, cast(id as short) as y, 'a' as z"]
+    for i in range(8):
+        frame = spark.range(i * 10, i * 10 + 5, numPartitions=2).selectExpr(*parts[i % 4].split(", "))
+        frame.withColumn("day", F.lit(f"2024-01-0{i % 3 + 1}").cast("date")).write.mode("append").partitionBy("day").parquet(path)
+    found = tables.merged(spark, path)
+    assert dict(found.dtypes) == {"x": "bigint", "y": "double", "z": "string", "day": "date"}
+    want = {i * 10 + k: [i * 10.0 + k, i * 10 + k + 0.5, None, i * 10.0 + k][i % 4] for i in range(8) for k in range(5)}
+    rows = found.collect()
+    assert {r.x: r.y for r in rows} == want and len(rows) == 40
+    assert sum(r.z == "a" for r in rows) == 10 and {str(r.day) for r in rows} == {f"2024-01-0{d}" for d in (1, 2, 3)}
+
+
+def test_widened_types():
+    from pyspark.sql import types as T
+    assert tables.widened(T.ShortType(), T.LongType()) == T.LongType()
+    assert tables.widened(T.FloatType(), T.ByteType()) == T.DoubleType()
+    assert tables.widened(T.StringType(), T.StringType()) == T.StringType()
+    for one, other in ((T.LongType(), T.DoubleType()), (T.StringType(), T.IntegerType())):
+        with pytest.raises(TypeError):
+            tables.widened(one, other)
+
+
 def test_union_evolving(spark):
     old = spark.createDataFrame([(0,)], "id int")
     found = rows.union_evolving(old, old.withColumn("x", F.lit(2)))
