@@ -15,8 +15,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import oracle_queries  # noqa: E402
 from capacast import session  # noqa: E402
 from capacast.functions import scalars, scores  # noqa: E402
-from capacast.operators import joins, ranking, rows, selection  # noqa: E402
-from capacast.plans import campaign, layers, learning, refresh, reports, serving  # noqa: E402
+from capacast.operators import asof, joins, ranking, rows, selection  # noqa: E402
+from capacast.plans import campaign, layers, learning, refresh, reports, rollups, serving, sketches  # noqa: E402
 from capacast.sources import bindings, schemas, tables  # noqa: E402
 from capacast.streaming import jobs, loop, trends  # noqa: E402
 
@@ -331,6 +331,30 @@ def append_idempotent(t: Tables) -> DataFrame:
     return t.spark.read.schema(bursts.schema).parquet(path)
 
 
+def append_to_buckets(t: Tables) -> DataFrame:
+    """The same burst slices appended twice, in two parts at first, to a target laid out by slice."""
+    path = session.scratch(t.spark, "burst-slices")
+    bursts = session.materialise(campaign.burst_slices(t.targets, F.col("scored_at")), "bursts")
+    for part in (bursts.where(F.pmod(F.xxhash64("slice_id"), F.lit(2)) == 0), bursts, bursts):
+        tables.append_to_buckets(part, path, ["slice_id"])
+    return t.spark.read.schema(bursts.schema).parquet(path).select(*bursts.columns)
+
+
+PLACE = ["latitude", "longitude"]
+
+
+def site_places(t: Tables) -> DataFrame:
+    """The intervals in which each site is known to have been at a place."""
+    return asof.validity(asof.changes(t.telemetry, "tower_id", "timestamp", PLACE), "tower_id", "timestamp")
+
+
+def site_as_of(t: Tables) -> DataFrame:
+    """Each reading with the place of its site as it was last known at that time."""
+    readings = t.telemetry.select("tower_id", "timestamp", "active_connections")
+    moves = asof.changes(t.telemetry, "tower_id", "timestamp", PLACE)
+    return asof.join_as_of(readings, moves, "tower_id", "timestamp", PLACE)
+
+
 # --- aggregates -----------------------------------------------------------------------------
 
 def distinct_counts(t: Tables) -> DataFrame:
@@ -338,6 +362,26 @@ def distinct_counts(t: Tables) -> DataFrame:
     return serving.distinct_count(t.telemetry, "tower_id", "active_towers").withColumn("accounts_at_risk", accounts)
 
 
+def rolling_distinct(t: Tables) -> DataFrame:
+    """Sites seen in the seven days up to each day, and whether the count from daily sketches is within 2 % of it."""
+    path = session.scratch(t.spark, "sketches")
+    sketches.store(sketches.daily_sketches(t.telemetry, "tower_id"), path)
+    estimated = sketches.rolling_distinct(sketches.stored(t.spark, path), 7, "estimated")
+    exact = sketches.rolling_distinct_exact(t.telemetry, "tower_id", 7, "active_towers")
+    error = F.abs(F.col("estimated") - F.col("active_towers"))
+    return exact.join(estimated, "day", "left").select(
+        "day", "active_towers", F.coalesce(error <= 0.02 * F.col("active_towers"), F.lit(False)).alias("close"))
+
+
+def replay_from_rollups(t: Tables) -> DataFrame:
+    """A step of the replay from rollups by minute, hour and day; later days come in a second turn."""
+    folder = session.scratch(t.spark, "rollups")
+    middle = at("2024-01-16 00:00:00")
+    for part in (F.col("timestamp") < middle, F.col("timestamp") >= middle):
+        rollups.write_rollups(t.telemetry.where(part), folder)
+    return rollups.replay_step(t.spark, folder, 12)
+
+
 def filtered_counts(t: Tables) -> DataFrame:
     active = F.col("status") == "active"
     return t.slices.agg(
@@ -616,6 +660,9 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "dimension_backfill": dimension_backfill,
     "renewal_risk_accounts": lambda t: reports.renewal_risk(t.opportunities, t.enriched),
     "append_idempotent": append_idempotent,
+    "append_to_buckets": append_to_buckets,
+    "site_places": site_places,
+    "site_as_of": site_as_of,
     "tumbling_features": lambda t: layers.tumbling_features(t.cleaned),
     "congestion_features": lambda t: t.features,
     "congestion_features_5min": lambda t: t.features_5min,
@@ -634,6 +681,8 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "time_step_replay": lambda t: serving.time_steps(t.telemetry),
     "time_step_replay_prefix": lambda t: serving.time_steps(t.telemetry, prefix="LF-"),
     "congested_per_step": lambda t: serving.congested_per_step(serving.time_steps(t.telemetry)),
+    "replay_from_rollups": replay_from_rollups,
+    "rolling_distinct": rolling_distinct,
     "distinct_sites": lambda t: joins.distinct_sites(t.telemetry),
     "profile_counts": lambda t: reports.profile(t.accounts, "customer_type"),
     "slice_profile": lambda t: reports.slice_profile(t.slices),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WIDE = "decimal(38,18)"
 
 
-def _odd(column: Column) -> Column:
+def odd(column: Column) -> Column:
     """Whether a value is NaN or infinite."""
     number = column.cast("double")
     return F.isnan(number) | (F.abs(number) == float("inf"))
@@ -24,8 +24,8 @@ def exact_sum(column: Column) -> Column:
     NaN and infinity propagate as in ``sum``; null is left out.  A value or a sum
     of 1e20 or more does not fit, and fails the job rather than going missing.
     """
-    odd = F.sum(F.when(_odd(column), column.cast("double")))
-    return F.coalesce(odd, F.sum(F.when(~_odd(column), column).cast(WIDE)).cast("double"))
+    apart = F.sum(F.when(odd(column), column.cast("double")))
+    return F.coalesce(apart, F.sum(F.when(~odd(column), column).cast(WIDE)).cast("double"))
 
 
 def exact_mean(column: Column) -> Column:

@@ -123,33 +123,47 @@ def _distance() -> Column:
         F.col("venue_latitude"), F.col("venue_longitude"), F.col("latitude"), F.col("longitude"))
 
 
-def _spread(near: DataFrame, located: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
-    """Split every cell into ``salts`` sub-cells, for cells that many sites crowd into."""
+def _spread(near: DataFrame, located: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Split each cell with more than ``crowd`` sites into as many parts as its count asks for; others stay whole.
+
+    There are at most (sites / crowd) such cells, so what is joined to find them is small next to the sites.
+    """
+    cell = ["_row", "_col"]
+    crowded = located.groupBy(*cell).agg(F.count(F.lit(1)).alias("_sites")).where(F.col("_sites") > crowd).select(
+        F.struct(*cell).alias("_cell"), F.ceil(F.col("_sites") / crowd).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    place = ["tower_id", "latitude", "longitude"]
+    sites = join_unique(located.withColumn("_cell", F.struct(*cell)), crowded, "_cell", place, "left")
+    venues = near.withColumn("_cell", F.struct(*cell)).join(crowded, "_cell", "left")
     return (
-        near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
-        located.withColumn("_salt", F.pmod(F.xxhash64("tower_id"), F.lit(salts)).cast("int")),
+        venues.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_cell", "_parts"),
+        sites.withColumn("_part", F.pmod(F.xxhash64(*place), parts).cast("int")).drop("_cell", "_parts"),
     )
 
 
+CROWD = 4096
+
+
 def proximity_join(events: DataFrame, sites: DataFrame, radius_miles: float = 5.0,
-                   digits: int | None = 3, salts: int = 4) -> DataFrame:
+                   digits: int | None = 3, crowd: int = CROWD) -> DataFrame:
     """Every (event, site) pair within the radius, with its distance.
 
     A site lies in one grid cell and an event lists the cells around it, so a
-    pair meets at most once.  The radius is tested on the unrounded distance.
+    pair meets at most once.  Cells with many sites are split by their count.
+    The radius is tested on the unrounded distance.
     """
     size = radius_miles / geo.MILES_PER_DEGREE
-    near, located = _spread(_venue_cells(events, radius_miles, size), _site_cells(sites, size), salts)
+    near, located = _spread(_venue_cells(events, radius_miles, size), _site_cells(sites, size), crowd)
     pairs = (
-        located.join(near, ["_row", "_col", "_salt"])
+        located.join(near, ["_row", "_col", "_part"])
         .withColumn("distance_miles", _distance())
         .where(F.col("distance_miles") <= radius_miles)
-        .drop("_row", "_col", "_salt")
+        .drop("_row", "_col", "_part")
     )
     return pairs if digits is None else pairs.withColumn("distance_miles", F.round("distance_miles", digits))
 
 
-def sites_near(events: DataFrame, sites: DataFrame, radius_miles: float = 5.0, salts: int = 4) -> DataFrame:
+def sites_near(events: DataFrame, sites: DataFrame, radius_miles: float = 5.0, crowd: int = CROWD) -> DataFrame:
     """Sites with at least one event within the radius, without listing the pairs.
 
     Only distinct venue places matter, and the semi join stops at the first hit.
@@ -161,10 +175,10 @@ def sites_near(events: DataFrame, sites: DataFrame, radius_miles: float = 5.0, s
     unique = sites.groupBy("tower_id", "latitude", "longitude").agg(
         F.max(geo.cell(F.col("latitude"), size)).alias("_row"),
         F.max(geo.cell(F.col("longitude"), size)).alias("_col"))
-    near, located = _spread(_venue_cells(places, radius_miles, size), unique, salts)
+    near, located = _spread(_venue_cells(places, radius_miles, size), unique, crowd)
     hit = geo.distance_miles(near["venue_latitude"], near["venue_longitude"],
                              located["latitude"], located["longitude"]) <= radius_miles
-    for column in ("_row", "_col", "_salt"):
+    for column in ("_row", "_col", "_part"):
         hit = hit & (located[column] == near[column])
     return located.join(near, hit, "left_semi").select("tower_id").distinct()
 

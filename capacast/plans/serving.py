@@ -138,11 +138,16 @@ def time_steps(telemetry: DataFrame, steps: int = STEPS, flag_above: float = REP
     mean = exact_mean(F.col("bandwidth_utilization_pct"))
     if step is not None:
         stepped = stepped.where(F.col("step") == step)
-    return stepped.groupBy("step", "tower_id").agg(
+    return replay_columns(stepped.groupBy("step", "tower_id").agg(
         mean.alias("bandwidth_utilization_pct"),
         F.max("active_connections").alias("active_connections"),
         exact_mean(F.col("latency_ms")).alias("latency_ms"),
-    ).withColumns({
+    ), flag_above)
+
+
+def replay_columns(means: DataFrame, flag_above: float) -> DataFrame:
+    """The score and the flag of a site's mean."""
+    return means.withColumns({
         "congestion_score": F.col("bandwidth_utilization_pct") / F.lit(100.0),
         "congested": F.coalesce(F.col("bandwidth_utilization_pct") > flag_above, F.lit(False)),
     })

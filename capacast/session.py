@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,18 +83,35 @@ def sized(spark: SparkSession, *paths: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder below the one every executor can reach.
 
-    That is ``spark.checkpoint.dir`` or, where it is not set, the warehouse.
-    All scratch tables of a run lie in one folder, so it can be expired as a whole.
+    That is ``spark.checkpoint.dir`` or, where it is not set, the warehouse.  The warehouse's default is a folder of the
+    driver's machine, so a cluster needs one of the two.  All scratch tables of a run lie in one folder, so it can be
+    expired as a whole.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if root is None:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if not usable(root, master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors reach; {root} is the driver's own")
     return f"{root.rstrip('/')}/capacast-{spark.sparkContext.applicationId}"
 
 
+def usable(warehouse: str, master: str) -> bool:
+    """Whether tasks can write below the warehouse: it is not the default, or tasks run on the driver's machine."""
+    own = os.path.abspath("spark-warehouse")
+    return master.startswith("local") or warehouse.removeprefix("file:").rstrip("/").replace("//", "/") != own
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; nothing is ever reused or removed."""
+    """A fresh path below the shared folder; nothing is ever reused."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def discard_scratch(spark: SparkSession) -> None:
+    """Remove the scratch tables of this application; for the end of a job, when no DataFrame reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException, PySparkException
 
 from ..operators.joins import new_rows_only
 from ..operators.rows import conform
+from ..session import materialise
 
 
 def load(spark: SparkSession, name: str, folder: str | None = None,
@@ -208,6 +209,33 @@ def append_new(rows: DataFrame, path: str, keys: Sequence[str], among: Column |
     new_rows_only(rows, existing, keys).write.mode("append").parquet(path)
 
 
+def bucket_column(buckets: int) -> str:
+    """The number of buckets is part of the name, so a table cannot be read or written with another one unnoticed."""
+    return f"bucket_of_{buckets}"
+
+
+def append_to_buckets(rows: DataFrame, path: str, keys: Sequence[str], buckets: int = 256) -> None:
+    """``append_new`` for a target that is too large to scan at each append.
+
+    The target is laid out by a hash of the keys.  Equal keys lie in one bucket, so only buckets that hold keys of ``rows``
+    are read.  The rows are written once before, as they are asked for their buckets and then appended.
+    """
+    name, spark = bucket_column(buckets), rows.sparkSession
+    placed = materialise(rows.withColumn(name, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "placed")
+    if exists(spark, path):
+        touched = [r[0] for r in placed.select(name).distinct().collect()]  # as many as there are buckets at most
+        existing = in_buckets(spark, path, placed.schema, name, touched).select(*keys)
+    else:
+        existing = placed.select(*keys).limit(0)
+    fresh = new_rows_only(placed, existing, keys)
+    fresh.hint("rebalance", name).write.mode("append").partitionBy(name).parquet(path)
+
+
+def in_buckets(spark: SparkSession, path: str, schema: StructType, name: str, touched: Sequence[int]) -> DataFrame:
+    """Rows of these buckets; the folders of the others are not listed among the files to read."""
+    return spark.read.schema(schema).parquet(path).where(F.col(name).isin(list(touched)))
+
+
 def insert_new(rows: DataFrame, table: str, keys: Sequence[str]) -> None:
     """``append_new`` for a catalog table."""
     insert(new_rows_only(rows, rows.sparkSession.table(table).select(*keys), keys), table)

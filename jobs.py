@@ -68,7 +68,10 @@ def main(argv: list[str] | None = None) -> None:
     spark = session.build("capacast-" + args.job, **settings)
     if not settings:
         session.sized(spark, getattr(args, "raw", None) or args.layers)
-    JOBS[args.job][0](spark, args)
+    try:
+        JOBS[args.job][0](spark, args)
+    finally:
+        session.discard_scratch(spark)
 
 
 if __name__ == "__main__":

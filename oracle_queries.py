@@ -211,6 +211,15 @@ PARTS = {
       FROM accounts WHERE customer_id IS NOT NULL""",
     "sites": "SELECT DISTINCT tower_id, latitude, longitude FROM telemetry "
              "WHERE latitude IS NOT NULL AND longitude IS NOT NULL",
+    "known_places": """
+      SELECT tower_id, timestamp, latitude, longitude FROM telemetry
+      WHERE timestamp IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY tower_id, timestamp ORDER BY latitude DESC, longitude DESC) = 1""",
+    "place_changes": """
+      SELECT tower_id, timestamp, latitude, longitude FROM known_places
+      WINDOW by_time AS (PARTITION BY tower_id ORDER BY timestamp)
+      QUALIFY lag(timestamp) OVER by_time IS NULL OR lag(latitude) OVER by_time <> latitude
+        OR lag(longitude) OVER by_time <> longitude""",
     "proximity": f"""
       SELECT event_id, event_name, venue_name, event_start_time, event_end_time, expected_attendance,
         traffic_multiplier, tower_id, latitude AS tower_latitude, longitude AS tower_longitude,
@@ -445,6 +454,14 @@ SELECTS = {
     "append_idempotent": """SELECT slice_id, customer_id, tower_id, slice_type, contracted_bandwidth_mbps,
         bandwidth_allocated_mbps, current_bandwidth_mbps, utilization_pct, latency_guarantee_ms,
         created_timestamp, expires_timestamp, status, revenue_per_hour FROM bursts""",
+    "append_to_buckets": """SELECT slice_id, customer_id, tower_id, slice_type, contracted_bandwidth_mbps,
+        bandwidth_allocated_mbps, current_bandwidth_mbps, utilization_pct, latency_guarantee_ms,
+        created_timestamp, expires_timestamp, status, revenue_per_hour FROM bursts""",
+    "site_places": """SELECT tower_id, latitude, longitude, timestamp AS valid_from,
+        lead(timestamp) OVER (PARTITION BY tower_id ORDER BY timestamp) AS valid_until FROM place_changes""",
+    "site_as_of": """SELECT t.tower_id, t.timestamp, t.active_connections, c.latitude AS known_latitude,
+        c.longitude AS known_longitude
+        FROM telemetry t ASOF LEFT JOIN place_changes c ON t.tower_id = c.tower_id AND t.timestamp >= c.timestamp""",
     # Aggregates
     "tumbling_features": "SELECT * FROM five",
     "congestion_features": "SELECT * FROM features",
@@ -500,6 +517,11 @@ SELECTS = {
         sum(high_upsell_opportunities)::BIGINT AS high_upsell_opportunities,
         sum(total_customers_at_risk)::BIGINT AS total_customers_at_risk FROM rollup GROUP BY 1""",
     "time_step_replay": "SELECT * FROM replay",
+    "replay_from_rollups": "SELECT * FROM replay WHERE step = 12",
+    "rolling_distinct": """SELECT a.day, count(DISTINCT tower_id) AS active_towers, true AS close
+        FROM (SELECT DISTINCT timestamp::DATE AS day FROM telemetry WHERE timestamp IS NOT NULL) a
+        JOIN (SELECT DISTINCT timestamp::DATE AS own, tower_id FROM telemetry) b ON b.own BETWEEN a.day - 6 AND a.day
+        GROUP BY a.day""",
     "time_step_replay_prefix": "SELECT * FROM replay WHERE tower_id LIKE 'LF-%'",
     "congested_per_step": """SELECT step, count(*) AS active_towers,
         count(*) FILTER (congested) AS towers_congested FROM replay GROUP BY step""",

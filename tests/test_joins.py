@@ -49,10 +49,24 @@ def test_proximity_equals_brute_force(spark):
         assert {tuple(r) for r in found} == expected_pairs(sites, venues, radius)
 
 
-def test_proximity_does_not_depend_on_salts(spark):
+def test_proximity_does_not_depend_on_the_size_of_parts(spark):
     events, located, _, _ = frames(spark, 2)
-    results = [sorted(joins.proximity_join(events, located, salts=n).collect(), key=repr) for n in (1, 4, 9)]
+    results = [sorted(joins.proximity_join(events, located, crowd=n).collect(), key=repr) for n in (1, 7, 10_000)]
     assert results[0] and results[0] == results[1] == results[2]
+    near = [sorted(joins.sites_near(events, located, crowd=n).collect()) for n in (1, 7, 10_000)]
+    assert near[0] and near[0] == near[1] == near[2]
+
+
+def test_a_crowded_cell_is_split_by_its_count(spark):
+    sites = spark.range(20_000).select(
+        F.concat(F.lit("S"), "id").alias("tower_id"), F.lit(47.6).alias("latitude"), F.lit(-122.3).alias("longitude"))
+    sites = sites.unionByName(spark.createDataFrame([("far", 10.0, 10.0)], sites.schema))
+    cells = sites.withColumns({"_row": F.floor("latitude"), "_col": F.floor("longitude")})
+    venues = spark.createDataFrame([(47, -123), (10, 10), (3, 3)], "_row bigint, _col bigint")
+    near, located = joins._spread(venues, cells, crowd=500)
+    sizes = [r[1] for r in located.where("_row = 47").groupBy("_part").count().collect()]
+    assert len(sizes) == 40 and sum(sizes) == 20_000 and max(sizes) < 3 * sorted(sizes)[20]
+    assert {(r["_row"], r["count"]) for r in near.groupBy("_row").count().collect()} == {(47, 40), (10, 1), (3, 1)}
 
 
 def test_sites_near_is_the_set_of_the_pairs(spark):
