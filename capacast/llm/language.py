@@ -28,6 +28,7 @@ DISCOUNT = 0.3  # neighbouring trigrams overlap, so they are not as much evidenc
 PRIOR_ROWS = 20.0
 SURE = 0.6
 UNKNOWN = "und"
+BROADCAST_ROWS = 4_000_000
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -66,7 +67,8 @@ class Model:
 def fit(rows: DataFrame, bound: int = SAMPLE) -> Model:
     """Train on at most ``bound`` rows for each declared language (columns id, text, declared).
 
-    A language needs ``LEAST`` rows that declare it.  Only the counts of 2**14 buckets by language reach the driver.
+    A language needs ``LEAST`` rows that declare it.  Only the counts of 2**14 buckets by language reach the driver, 128 KB
+    a language.  The picked ids are broadcast if languages times ``bound`` is at most ``BROADCAST_ROWS``, and shuffled beyond.
     """
     known = rows.where("declared <> '' and id is not null").select("id", "declared").distinct()
     picked = mark_lowest(known, ["declared"], ["id"], F.least(F.lit(bound), F.col("_n")), "picked").where("picked")
@@ -88,7 +90,8 @@ def fit(rows: DataFrame, bound: int = SAMPLE) -> Model:
                 [pa.array([language] * len(used), pa.string()), pa.array(used), pa.array(found[used])],
                 ["language", "bucket", "n"])
 
-    counted = rows.join(F.broadcast(chosen), ["id", "declared"]).select("text", "declared").mapInArrow(
+    chosen = F.broadcast(chosen) if len(languages) * bound <= BROADCAST_ROWS else chosen
+    counted = rows.join(chosen, ["id", "declared"]).select("text", "declared").mapInArrow(
         run, "language string, bucket bigint, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((1 << BITS, len(languages)), SMOOTHING)
     for row in counted.toLocalIterator():
@@ -96,10 +99,20 @@ def fit(rows: DataFrame, bound: int = SAMPLE) -> Model:
     return Model(languages, np.log(table / table.sum(0)) if languages else table)
 
 
-def _row_counts(rows: DataFrame, key: str, size: int) -> DataFrame:
+def _arrays(counts: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, n): counts by key and language (its position in ``best``, or null) as one array for each key.
+
+    The expression is the same for any number of languages.
+    """
+    listed = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("best").isNotNull(), F.struct("best", "rows")))).alias("_rows"))
+    return listed.select(key, F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("_rows", i), F.lit(0)).cast("double")).alias("n"))
+
+
+def _row_counts(rows: DataFrame, *keys: str) -> DataFrame:
     """How many rows of each key look like each language."""
-    return rows.groupBy(key).agg(F.array(*[
-        F.count(F.when(F.col("best") == i, 1)).cast("double") for i in range(size)]).alias("n"))
+    return rows.groupBy(*keys, "best").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _smooth() -> Column:
@@ -146,31 +159,36 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     if not size:
         return read.select("id", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("probability"), "declared",
                            F.col("n").alias("n_trigrams"), F.lit(False).alias("kept"))
-    best = F.array_position("likelihood", F.array_max("likelihood")) - 1
+    best = F.array_position("likelihood", F.array_max("likelihood")).cast("int") - 1
     scored = session.materialise(read.withColumn("best", F.when(F.col("n") > 0, best)), "likelihoods")
 
-    declared = _row_counts(scored, "declared", size)
-    totals = scored.groupBy().agg(*[F.count(F.when(F.col("best") == i, 1)) for i in range(size)]).first()
+    totals = np.zeros(size)
+    for row in _row_counts(scored).where("best is not null").collect():  # a row for each language
+        totals[row.best] = row.rows
+    declared = session.materialise(_arrays(_row_counts(scored, "declared"), "declared", size), "declared")
     kinds = declared.count()
-    said = declared.select("declared", F.array(*[
-        F.log((F.get("n", i) + 1) / F.lit(float(totals[i] + kinds))) for i in range(size)]).alias("said"))
-    everywhere = F.array(*[F.lit((t + 1) / (sum(totals) + size)) for t in totals])
-    by_host = session.materialise(_row_counts(scored, "host", size), "hosts")
+    said = declared.select("declared", F.zip_with(
+        "n", F.lit(totals + kinds), lambda n, total: F.log((n + 1) / total)).alias("said"))
+    everywhere = F.lit((totals + 1) / (totals.sum() + size))
+    by_host = session.materialise(_row_counts(scored, "host"), "hosts")
     hosts = by_host.withColumn("domain", _domain(F.col("host"))).withColumn("suffix", _suffix(F.col("host")))
 
     def summed(key: str) -> DataFrame:
-        return hosts.groupBy(key).agg(F.array(*[F.sum(F.get("n", i)) for i in range(size)]).alias("n"))
+        return _arrays(hosts.groupBy(key, "best").agg(F.sum("rows").alias("rows")), key, size)
 
     suffixes = summed("suffix").withColumn("above", everywhere).select("suffix", _smooth().alias("prior"))
     domains = _below(summed("domain").withColumn("suffix", _suffix(F.col("domain"))), suffixes, "suffix", "domain")
-    priors = _below(hosts.select("host", "domain", "n"), domains, "domain", "host")
-
-    joined = join_unique(join_unique(scored, said, "declared", ["id"]), priors, "host", ["id"])
-    votes = F.array(*[DISCOUNT * F.get("likelihood", i) + F.get("said", i) + F.log(F.get("prior", i))
-                      for i in range(size)])
+    by_name = _arrays(by_host, "host", size).withColumn("domain", _domain(F.col("host")))
+    priors = _below(by_name, domains, "domain", "host")
+
+    # Rows without ids are spread by what their texts gave.
+    salt = ["id", "n", "likelihood"]
+    joined = join_unique(join_unique(scored, said, "declared", salt), priors, "host", salt)
+    texts_and_said = F.zip_with("likelihood", "said", lambda text, given: DISCOUNT * text + given)
+    votes = F.zip_with(texts_and_said, "prior", lambda vote, prior: vote + F.log(prior))
     fused = joined.withColumn("votes", votes).withColumn("top", F.array_max("votes"))
     chance = 1 / F.aggregate("votes", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
-    name = F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.array_position("votes", F.col("top")).cast("int"))
+    name = F.element_at(F.lit(model.languages), F.array_position("votes", F.col("top")).cast("int"))
     noise = F.col("n") * F.lit(-BITS * np.log(2.0))
     kept = (F.col("n") > 0) & (chance >= SURE) & (F.array_max("likelihood") > noise)
     return fused.select(

@@ -95,6 +95,32 @@ def test_equal_to_brute_force(spark):
         assert found[key][0] == name and found[key][2] == kept and abs(found[key][1] - chance) < 2e-6
 
 
+def test_plan_does_not_grow_with_languages(spark):
+    """Many declared codes: the same expressions, and still the right language for each row."""
+    rng = random.Random(4)
+    sizes = {}
+    for count in (3, 240):
+        words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for _ in range(count)]
+        listed = [(i, " ".join(rng.choices(words[i % count], k=40)), f"c{i % count:03}", f"h{i % 7}.x") for i in range(5 * count)]
+        table = rows(spark, listed)
+        model = language.fit(table)
+        assert len(model.languages) == count
+        found = language.identify(table, model)
+        right = [r.language == r.declared for r in found.collect()]
+        assert sum(right) >= 0.99 * len(right)
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+        sizes[count] = text.count("element_at") + text.count("log(") + text.count("CASE WHEN")
+    assert sizes[3] == sizes[240] > 0
+
+
+def test_rows_without_ids_are_spread_over_the_salts(spark):
+    _, listed = corpus(spark)
+    table = rows(spark, [(None, *rest) for _, *rest in listed])
+    model = language.fit(rows(spark, listed))
+    found = [r.language for r in language.identify(table, model).collect()]
+    assert sorted(found) == sorted("ab"[i % 2] * 2 for i in range(80))
+
+
 def test_query_covers_documents_and_pages(spark):
     folder = "/root/testdata/sf0.01"
     found = QUERIES["op4_language_fusion"](spark, folder).collect()
