@@ -206,30 +206,48 @@ def _item_sizes(items: DataFrame, window: int) -> list[int]:
     return sorted(r.n for r in short.collect()) + [window]
 
 
-def _catalogue(index: DataFrame) -> DataFrame:
-    """The index's windows with ``own``: whether an item is looked up by the window.
+def _classes(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of items that the same documents hold, and their members.
 
-    A window of more than ``COMMON`` templates (an instruction that items share) is nobody's own, and an item without any of
-    its own is looked up by its rarest window.  Where more than ``COMMON`` items have one template, the one with the most
-    different values stands for all, as it allows every replacement that another allows by their number.
+    In one form, items of one template whose values are equal at the same places are held by the same documents, and
+    differ in ``n_changed`` only.  (form, pattern) is such a class, with its windows in order, whose slots are numbers of
+    values; each member has its values by number.  ``item_class`` stands for the set of items, whatever the form.
     """
     of_item = ["item_id", "item_hash", "form"]
-    described = index.groupBy(*of_item).agg(
-        F.xxhash64(F.array_sort(F.collect_list(F.struct("item_at", "hash")))).alias("template"),
-        (-F.size(F.array_distinct(F.flatten(F.collect_list("item_slots"))))).alias("fewest"))
+    listed = F.array_sort(F.collect_list(F.struct("item_at", "hash", "item_slots")))
+    described = index.groupBy(*of_item).agg(listed.alias("listed")).withColumn(
+        "values", F.array_distinct(F.flatten("listed.item_slots")))
+    windows = F.transform("listed", lambda w: F.struct(w["item_at"].alias("item_at"), w["hash"].alias("hash"), F.transform(
+        w["item_slots"], lambda v: F.array_position("values", v).cast("int")).alias("item_slots")))
+    described = described.withColumn("windows", windows).select(
+        *of_item, "values", "windows", F.xxhash64("listed.item_at", "listed.hash").alias("template"),
+        F.xxhash64("windows").alias("pattern"))
     described = session.materialise(described, "described")
-    alike = described.groupBy("form", "template").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("fewest", "item_id", "item_hash")).alias("first"))
-    standing = described.join(alike, ["form", "template"]).where(
-        (F.col("n") <= COMMON) | F.struct("fewest", "item_id", "item_hash").eqNullSafe(F.col("first")))
-    rows = join_null_safe(index, standing.select(*of_item, "template"), of_item)
+    item = F.struct("item_id", "item_hash")
+    classes = described.groupBy("form", "pattern").agg(
+        F.any_value("template").alias("template"), F.any_value("windows").alias("windows"),
+        F.count(F.lit(1)).alias("n_items"), F.min(item).alias("first"), F.bit_xor(F.xxhash64(item)).alias("mixed"))
+    classes = session.materialise(classes.withColumn("item_class", F.xxhash64("first", "n_items", "mixed")), "classes")
+    members = described.select("form", "pattern", "item_id", "item_hash", "values").join(
+        classes.select("form", "pattern", "item_class", "n_items", "first"), ["form", "pattern"])
+    members = members.select("item_class", "form", "item_id", "item_hash", "values", "n_items",
+                             item.eqNullSafe(F.col("first")).alias("stands"))
+    return classes, session.materialise(members, "members")
+
+
+def _catalogue(classes: DataFrame) -> DataFrame:
+    """The classes' windows with ``own``: whether items of the class are looked up by the window.
+
+    A window of more than ``COMMON`` templates (an instruction that items share) is nobody's own, and an item without any of
+    its own is looked up by all of its rarest windows.
+    """
+    of_class = ["form", "pattern"]
+    rows = classes.select(*of_class, "template", F.explode("windows").alias("w")).select(*of_class, "template", "w.*")
     shared = rows.select("hash", "template").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_templates"))
     rows = session.materialise(rows.join(shared, "hash"), "shared")
-    rarest = rows.groupBy(*of_item).agg(F.min(F.struct("n_templates", "hash")).alias("rarest"))
-    found = join_null_safe(rows, rarest, of_item)
-    own = (F.col("n_templates") <= COMMON) | (
-        (F.col("rarest.n_templates") > COMMON) & (F.col("hash") == F.col("rarest.hash")))
-    return found.select(*of_item, "hash", "item_at", "item_slots", own.alias("own"))
+    rarest = rows.groupBy(*of_class).agg(F.min("n_templates").alias("rarest"))
+    own = F.col("n_templates") <= F.greatest(F.lit(COMMON), "rarest")
+    return rows.join(rarest, of_class).select(*of_class, "hash", "item_at", "item_slots", own.alias("own"))
 
 
 def _needed(count: str):
@@ -238,19 +256,25 @@ def _needed(count: str):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_limit: int = INDEX_LIMIT,
           id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
-          item_text_column: str = "text") -> DataFrame:
-    """(doc_id, text_hash, item_id, n_windows, n_matched, n_changed) for each document that holds an item.
+          item_text_column: str = "text", every_item: bool = False) -> DataFrame:
+    """(doc_id, text_hash, item_id, n_windows, n_matched, n_changed, item_class, n_items) for each document that holds an item.
 
     The numbers are those of the first form in which the item is held.
     An item counts as held if half of its windows match consistently, or ``NEEDED_WINDOWS`` of them, and if the same is
-    true of the windows of its own, those of ``COMMON`` templates at most; a window counts as
+    true of the windows of its own, those of ``COMMON`` templates at most, or its rarest; a window counts as
     often as both the document and the item have it.  Documents meet items on the items' own windows only, so an
-    instruction that many items share neither makes a document hold them nor brings it together with them.  Of more than
-    ``COMMON`` items with one template one is reported.  An item with fewer
+    instruction that many items share neither makes a document hold them nor brings it together with them.
+
+    Items that the same documents hold are a class: they have one template, and equal values at the same places.  The
+    members of a class of ``COMMON`` items at most are each listed with every document.  A larger class, of ``n_items``, is
+    listed with every document by its smallest item; with ``every_item`` its other items are listed once, with the
+    smallest of its documents.  So rows of one ``item_class`` give all pairs of its documents and items, and the table has
+    no more rows than documents' classes and items have.
+
+    An item with fewer
     tokens than a window is one window by itself; below ``SHORTEST`` tokens it cannot be recognised, and with less than
     half literals in every window only where it is copied with its values.  n_changed counts the item's placeholder values that the document replaces.
-    Null and empty texts hold nothing; rows with equal id and text are one finding; equal items are each
-    reported up to ``COMMON``;
+    Null and empty texts hold nothing; rows with equal id and text are one finding;
     a row without an id is reported without one; other columns are ignored; empty tables give no rows.
 
     The index of the benchmark goes to all tasks if it has ``index_limit`` hashes at most (8 bytes each, so 32 MB), and
@@ -262,7 +286,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_lim
     sizes = _item_sizes(items, window)
     raw = session.materialise(windows(items, sizes, shorter_than=window).select(
         "item_id", "item_hash", "form", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")), "templates")
-    index = session.materialise(_catalogue(raw), "index")
+    classes, members = _classes(raw)
+    index = session.materialise(_catalogue(classes), "index")
     hashes = index.select("hash").distinct()
     small = hashes.count() <= index_limit
     sent = F.broadcast if small else lambda df: df
@@ -275,20 +300,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_lim
     found = windows(rows, sizes, wanted).drop("form")  # the hash tells
     found = session.materialise(found if small else found.join(hashes, "hash", "left_semi"), "hits")
 
-    doc, of_item = ["doc_id", "text_hash"], ["item_id", "item_hash", "form"]
-    counts = session.materialise(index.groupBy(*of_item).agg(
+    doc, of_class = ["doc_id", "text_hash"], ["form", "pattern"]
+    counts = session.materialise(index.groupBy(*of_class).agg(
         F.count(F.lit(1)).alias("n_windows"), F.count_if("own").alias("n_own")), "counts")
-    # How often both have each of the item's own windows: at least as often as they match along any alignments.
-    own = index.where("own").groupBy(*of_item, "hash").agg(F.count(F.lit(1)).alias("in_item"))
+    # How often both have each of the class's own windows: at least as often as they match along any alignments.
+    own = index.where("own").groupBy(*of_class, "hash").agg(F.count(F.lit(1)).alias("in_item"))
     seen = found.groupBy(*doc, "hash").agg(F.countDistinct("at").alias("in_doc"))
-    shared = seen.join(sent(own), "hash").groupBy(*doc, *of_item).agg(F.sum(F.least("in_item", "in_doc")).alias("n_shared"))
-    candidates = session.materialise(join_null_safe(shared, sent(counts), of_item).where(
-        F.col("n_shared") >= _needed("n_own")).select(*doc, *of_item), "candidates")
+    shared = seen.join(sent(own), "hash").groupBy(*doc, *of_class).agg(F.sum(F.least("in_item", "in_doc")).alias("n_shared"))
+    candidates = session.materialise(shared.join(sent(counts), of_class).where(
+        F.col("n_shared") >= _needed("n_own")).select(*doc, *of_class), "candidates")
 
-    expected = join_null_safe(candidates, sent(index), of_item)
+    expected = candidates.join(sent(index), of_class)
     met = join_null_safe(expected, found, [*doc, "hash"])
     pairs = F.arrays_zip(F.col("item_slots").alias("old"), F.col("slots").alias("new"))
-    key = [*doc, *of_item]
+    key = [*doc, *of_class]
     aligned = met.groupBy(*key, (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set(F.struct("hash", "own", "item_at", "at", pairs.alias("pairs"))).alias("held"))
     # In order, an old value with two new ones is next to itself.
@@ -298,21 +323,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_lim
         p["old"] == F.get("values", i - 1)["old"])), lambda p: p["old"]))
     steady = aligned.withColumn("torn", torn).withColumn("held", F.filter(
         "held", lambda w: ~F.exists(w["pairs"], lambda p: F.array_contains("torn", p["old"]))))
-    changed = F.transform(F.filter("values", lambda p: (p["old"] != p["new"]) & ~F.array_contains("torn", p["old"])),
-                          lambda p: p["old"])
+    replaced = F.filter("values", lambda p: ~F.array_contains("torn", p["old"]))
     # A window that the document or the item repeats meets along many alignments; it counts as often as both have it.
-    by_window = steady.select(*key, changed.alias("changed"), F.explode_outer("held").alias("w")).groupBy(
+    by_window = steady.select(*key, replaced.alias("replaced"), F.explode_outer("held").alias("w")).groupBy(
         *key, F.col("w.hash").alias("hash"), F.col("w.own").alias("own")).agg(
         F.least(F.size(F.collect_set("w.item_at")), F.size(F.collect_set("w.at"))).alias("held"),
-        F.array_distinct(F.flatten(F.collect_set("changed"))).alias("changed"))
+        F.array_distinct(F.flatten(F.collect_set("replaced"))).alias("replaced"))
     matched = by_window.groupBy(*key).agg(
         F.sum("held").alias("n_matched"), F.sum(F.when(F.col("own"), F.col("held")).otherwise(0)).alias("own_matched"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("changed")))).alias("n_changed"))
-    judged = join_null_safe(matched, sent(counts), of_item)
+        F.array_distinct(F.flatten(F.collect_set("replaced"))).alias("replaced"))
+    judged = matched.join(sent(counts), of_class)
     held = judged.where((F.col("n_matched") >= _needed("n_windows")) & (F.col("own_matched") >= _needed("n_own")))
-    best = held.groupBy(*doc, "item_id", "item_hash").agg(
-        F.min(F.struct("form", "n_windows", "n_matched", "n_changed")).alias("best"))
-    return best.select("doc_id", "text_hash", "item_id", "best.n_windows", "best.n_matched", "best.n_changed")
+    named = held.join(sent(classes.select(*of_class, "item_class", "n_items")), of_class)
+    best = session.materialise(named.groupBy(*doc, "item_class", "n_items").agg(
+        F.min(F.struct("form", "n_windows", "n_matched", "replaced")).alias("best")).select(
+        *doc, "item_class", "n_items", "best.*"), "held")
+
+    listed = best.join(members.where(f"n_items <= {COMMON} or stands").drop("n_items"), ["item_class", "form"])
+    if every_item:
+        smallest = best.where(f"n_items > {COMMON}").groupBy("item_class", "n_items").agg(
+            F.min(F.struct(*doc, "form", "n_windows", "n_matched", "replaced")).alias("first"))
+        rest = smallest.select("item_class", "n_items", "first.*").join(
+            members.where(f"n_items > {COMMON} and not stands").drop("n_items"), ["item_class", "form"])
+        listed = listed.unionByName(rest)
+    changed = F.array_distinct(F.transform(F.filter(
+        "replaced", lambda p: p["new"] != F.get("values", p["old"] - 1)), lambda p: p["old"]))
+    # An item of several small classes, by form, is listed once.
+    of_large = F.when(F.col("n_items") > COMMON, F.col("item_class")).alias("of_large")
+    once = listed.withColumn("n_changed", F.size(changed)).groupBy(*doc, "item_id", "item_hash", of_large).agg(
+        F.min(F.struct("form", "n_windows", "n_matched", "n_changed", "item_class", "n_items")).alias("row"))
+    return once.select("doc_id", "text_hash", "item_id", "row.n_windows", "row.n_matched", "row.n_changed",
+                       "row.item_class", "row.n_items")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",

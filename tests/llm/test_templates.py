@@ -156,6 +156,33 @@ def test_many_items_of_one_template(spark):
     assert (77, 41) in hits and len(hits) <= 2 * len(docs)
 
 
+@pytest.mark.parametrize("limit", [4_000_000, 0])
+def test_all_pairs_follow_from_the_classes(spark, limit):
+    item = "A farmer has {} cows and buys {} more from {} at the market. How many cows does the farmer have now, says {}?"
+    names = ["Ann", "Bob", "Cid", "Dan", "Eve", "Fay"]
+    items = [(i, item.format(i + 2, i + 30, names[i % 6], names[(i + 1) % 6])) for i in range(30)]
+    items += [(100 + i, item.format(i + 2, i + 2, names[i % 6], names[(i + 1) % 6])) for i in range(7)]  # equal numbers
+    items += [(200 + i, "where does the tired old river flow to the sea") for i in range(6)]
+    docs = [(d, "Some text. " + item.format(d + 1000, d + 70, "Zoe", "Max") + " More text.") for d in range(5)]
+    docs += [(50 + d, item.format(d + 500, d + 500, "Zoe", "Max")) for d in range(3)]
+    docs += [(77, items[21][1]), (80, f"I ask {items[-1][1]} at last")]
+    tables = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, BENCH)
+    rows = templates.leaks(*tables, index_limit=limit, every_item=True).collect()
+    pairs = {(a.doc_id, b.item_id) for a in rows for b in rows if a.item_class == b.item_class}
+    assert pairs == plain_leaks(docs, items) and {i for _, i in pairs} == {i for i, _ in items}
+    changed = {(r.doc_id, r.item_id): r.n_changed for r in rows}
+    assert changed[77, 21] == 0 and changed[0, 5] == 4
+    assert len(rows) <= 3 * (len(docs) + len(items))
+
+
+def test_items_without_own_windows_need_half_of_the_rarest(spark):
+    """All windows of the last item are shared and equally rare; which of them a document has does not matter."""
+    text = f"{own_words('q', 3)} {own_words('p', 3)}"
+    items = [(i, f"{text} {own_words('r', i)}") for i in range(6)] + [(6, text)]
+    docs = [(i, f"{own_words('d', i, 5)} {' '.join(text.split()[i:i + 16])} {own_words('e', i, 5)}") for i in range(0, 33, 4)]
+    assert set(found(spark, docs, items)) == plain_leaks(docs, items) == {(i, 6) for i in range(0, 33, 4)}
+
+
 def test_recall_of_renamed_questions(spark):
     import random
     rng = random.Random(6)
