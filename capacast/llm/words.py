@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
-PIECE = 1 << 20
+PIECE = 1 << 18
+ROWS = 256
 _IS_SPACE = np.isin(np.arange(256), list(SEPARATORS))
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
@@ -85,14 +86,18 @@ def texts(column: pa.Array) -> list[bytes | None]:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most ``limit`` bytes of text, one row at least; a null text is empty."""
+    """Slices of the batches with at most ``limit`` bytes of text and ``ROWS`` rows, one row at least; a null text is empty.
+
+    Texts become Python objects slice by slice, so a task holds few of them however many rows a batch has.
+    """
     for batch in batches:
-        raw = [x or b"" for x in texts(batch.column(column))]
-        first, held = 0, 0
-        for row, text in enumerate(raw):
-            if row > first and held + len(text) > limit:
-                yield batch.slice(first, row - first), raw[first:row]
-                first, held = row, 0
-            held += len(text)
-        if first < len(raw):
-            yield batch.slice(first), raw[first:]
+        for begin in range(0, batch.num_rows, ROWS):
+            part = batch.slice(begin, ROWS)
+            raw = [x or b"" for x in texts(part.column(column))]
+            first, held = 0, 0
+            for row, text in enumerate(raw):
+                if row > first and held + len(text) > limit:
+                    yield part.slice(first, row - first), raw[first:row]
+                    first, held = row, 0
+                held += len(text)
+            yield part.slice(first), raw[first:]

@@ -47,3 +47,21 @@ def test_pieces_are_bounded_and_whole():
         [pa.array([1, 2, 3, 4]), pa.array(["a" * 30, None, "b" * 80, "c"])], ["doc_id", "text"])
     found = [(p.column(0).to_pylist(), t) for p, t in words.pieces([batch], limit=50)]
     assert found == [([1, 2], [b"a" * 30, b""]), ([3], [b"b" * 80]), ([4], [b"c"])]
+
+
+def test_memory_follows_the_piece_and_not_the_batch():
+    """A batch of 10,000 rows, as Spark sends it: reading its texts as tokens takes less than the batch itself."""
+    import tracemalloc
+
+    from capacast.llm import templates
+    text = "The baker Ann Lee sold 12 kg of flour to her neighbour at the mill. " * 30
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 10_000)], ["text"])
+    tracemalloc.start()
+    rows = 0
+    for part, texts in words.pieces([batch]):
+        if rows < 2000:
+            templates.canonical(texts)
+        rows += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 10_000 and peak < batch.nbytes, peak
