@@ -13,10 +13,19 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _each(df: DataFrame, *pairs: tuple[str, str], names: tuple[str, str] = ("node", "other")) -> DataFrame:
+    """Several pairs of columns out of each row.  A union would hold the plan below it once for each pair: the driver then
+    plans, compiles and re-optimises every round several times over."""
+    return df.select(F.inline(F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(p, names)]) for p in pairs])))
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
-    """Each pair (node, other) with the smallest member of the node's neighbourhood."""
+    """Each pair (node, other) with the smallest member of the node's neighbourhood.
+
+    A merge join, as a broadcast would build a table of the nodes on the driver, in every round.
+    """
     lowest = pairs.groupBy("node").agg(F.min("other").alias("low"))
-    return pairs.join(lowest, "node").withColumn("low", F.least("node", "low"))
+    return pairs.join(lowest.hint("merge"), "node").withColumn("low", F.least("node", "low"))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -35,15 +44,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(
-            edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        large = _nearest(both).where("other > node").select(F.col("other").alias("node"), F.col("low").alias("other"))
+        large = _nearest(_each(edges, ("a", "b"), ("b", "a"))).where("other > node").select(
+            F.col("other").alias("node"), F.col("low").alias("other"))
         small = _nearest(large.distinct())
         edges = session.materialise(
-            small.select(F.col("other").alias("a"), F.col("low").alias("b"))
-            .union(small.select(F.col("node").alias("a"), F.col("low").alias("b")))
-            .where("a <> b").distinct(), "links")
+            _each(small, ("other", "low"), ("node", "low"), names=("a", "b")).where("a <> b").distinct(), "links")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    members = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return members.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    return _each(edges, ("a", "b"), ("b", "b"), names=("node", "component")).distinct()

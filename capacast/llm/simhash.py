@@ -5,6 +5,9 @@ distinct fingerprint under 14 sets of four byte positions.  The sets are those w
 zero; any five positions contain exactly one of them, so a pair with five equal bytes meets at least once, while posting
 lists are as short as lists over 32 bits can be.  Pairs that meet are tallied by the number of positional bytes they share,
 those below the guaranteed minimum are dropped, and the rest verified on all 64 bits.
+
+Joins are merge joins by hint: each side grows with the number of documents, packed far below the size at which Spark
+stops broadcasting, and the driver would build the tables.
 """
 
 from __future__ import annotations
@@ -89,7 +92,7 @@ def _posted(fps: DataFrame, extra: int) -> DataFrame:
 def _lists(postings: DataFrame) -> DataFrame:
     """Postings of lists with two entries or more, with the list's length."""
     length = postings.groupBy("place", "value").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    return postings.join(length, ["place", "value"])
+    return postings.join(length.hint("merge"), ["place", "value"])
 
 
 def _met(lists: DataFrame, limit: int) -> DataFrame:
@@ -97,7 +100,7 @@ def _met(lists: DataFrame, limit: int) -> DataFrame:
     short = lists.where(F.col("length") <= limit)
     left = short.select("place", "value", F.col("fp").alias("a"))
     right = short.select("place", "value", F.col("fp").alias("b"))
-    return left.join(right, ["place", "value"]).where("a > b").select("a", "b")
+    return left.join(right.hint("merge"), ["place", "value"]).where("a > b").select("a", "b")
 
 
 def _verified(met: DataFrame) -> DataFrame:
@@ -106,6 +109,10 @@ def _verified(met: DataFrame) -> DataFrame:
     return tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
 
 
+def _list(items) -> str:
+    return f"array({', '.join(map(str, items))})"
+
+
 def _stars(lists: DataFrame) -> DataFrame:
     """Links within long lists, without pairs.
 
@@ -114,17 +121,16 @@ def _stars(lists: DataFrame) -> DataFrame:
     to three bits have such a key in common.
     """
     quint = [(*q, more) for q in QUADS for more in range(8) if more not in q]
-    free = F.array(*[F.array(*[F.lit(8 * p + bit) for p in range(8) if p not in q for bit in range(8)])
-                     for q in quint])
-    triples = F.array(*[F.array(*[F.lit(i) for i in t]) for t in combinations(range(24), MAX_BITS)])
-    spread = lists.select("place", "fp", F.explode(triples).alias("t"))
-    bits = F.array(*[F.lit(_signed(1 << i)) for i in range(64)])
-    cleared = [F.get(bits, F.get(F.get(free, F.col("place")), F.get("t", i))) for i in range(MAX_BITS)]
+    # Parsed as one text each: as thousands of literals they took the driver longer than their tasks the search.
+    free = _list(_list(8 * p + bit for p in range(8) if p not in q for bit in range(8)) for q in quint)
+    triples = _list(sum(bit << (5 * i) for i, bit in enumerate(t)) for t in combinations(range(24), MAX_BITS))
+    spread = lists.select("place", "fp", F.explode(F.expr(triples)).alias("t"))
+    cleared = [F.expr(f"shiftleft(1L, get(get({free}, place), shiftright(t, {5 * i}) & 31))") for i in range(MAX_BITS)]
     keyed = spread.select(
         "place", "t", "fp",
         F.col("fp").bitwiseAND(F.bitwise_not(reduce(Column.bitwiseOR, cleared))).alias("value"))
     lowest = keyed.groupBy("place", "t", "value").agg(F.min("fp").alias("b"), F.max("fp").alias("top"))
-    return keyed.join(lowest.where("top > b"), ["place", "t", "value"]).where("fp > b").select(
+    return keyed.join(lowest.where("top > b").hint("merge"), ["place", "t", "value"]).where("fp > b").select(
         F.col("fp").alias("a"), "b").distinct()
 
 
@@ -156,8 +162,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     fps = session.materialise(fingerprints(docs, id_column, text_column), "fingerprints")
     classes = session.materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     linked = components(links(classes.select("fp"), long_list))
-    rooted = classes.join(linked, classes.fp == linked.node, "left").select(
+    rooted = classes.join(linked.hint("merge"), classes.fp == linked.node, "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(first, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(first.hint("merge"), "root").select("fp", "component_id")
+    return fps.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+import corpus_pipeline
+from capacast import session
 from capacast.llm import simhash
 from capacast.llm.components import components
 from capacast.llm.queries import QUERIES
@@ -72,3 +74,28 @@ def test_near_copies_link_through_each_other(spark):
                                  "doc_id bigint, text string")
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert found == {9: 5, 5: 5, 7: 7}
+
+
+def test_no_table_is_built_on_the_driver(spark, monkeypatch):
+    """Broadcast tables of nodes, links and ids grew with the documents; a round held the plan of its links several times."""
+    plans = {}
+    written = session.materialise
+
+    def noted(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(session, "materialise", noted)
+    rng = random.Random(5)
+    centre = rng.getrandbits(64)
+    prints = {centre} | {centre ^ 1 << rng.randrange(64) for _ in range(40)} | {rng.getrandbits(64) for _ in range(40)}
+    fps = spark.createDataFrame([(i, signed(p)) for i, p in enumerate(prints)], "doc_id bigint, fp bigint")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: fps)
+    docs = spark.createDataFrame([(0, "")], "doc_id bigint, text string")
+    found = simhash.near_duplicates(docs, long_list=3)
+    plans["result"] = [found._jdf.queryExecution().executedPlan().toString()]
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    plans["kept"] = [kept._jdf.queryExecution().executedPlan().toString()]
+    assert {"quads", "quints", "links"} <= plans.keys()
+    assert not [name for name, found in plans.items() for plan in found if "Broadcast" in plan]
+    assert max(plan.count("FileScan") for plan in plans["links"][1:]) <= 4
