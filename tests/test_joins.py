@@ -131,3 +131,23 @@ def test_new_rows_only(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id int, v string")
     existing = spark.createDataFrame([(2,)] * 50 + [(3,)], "id int")
     assert [tuple(r) for r in joins.new_rows_only(rows, existing, ["id"]).collect()] == [(1, "a")]
+
+
+def test_pairs_come_event_by_event_in_the_order_of_places(spark):
+    """Of five repeated columns a file of pairs held every value, as each site went through the events of its cell."""
+    rng = random.Random(3)
+    sites = [(f"T{i}", 47.0 + rng.randrange(9) / 1000, -122.0) for i in range(60)]
+    events = [(f"E{i}", 47.0 + i / 100_000, -122.0) for i in range(50)]
+    located = spark.createDataFrame([*sites, ("T0", None, None)], "tower_id string, latitude double, longitude double")
+    calendar = spark.createDataFrame(events, "event_id string, venue_latitude double, venue_longitude double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = joins.proximity_join(calendar, located)
+        rows = pairs.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert pairs.columns == [*located.columns, *calendar.columns, "distance_miles"]
+    assert sorted((r.event_id, r.tower_id) for r in rows) == sorted((e[0], s[0]) for e in events for s in sites)
+    cells = 4  # the places lie in two rows of cells at most, and parts of a list keep the order
+    assert sum(a.event_id != b.event_id for a, b in zip(rows, rows[1:])) < cells * len(events)
+    assert sum((a.event_id, a.latitude) != (b.event_id, b.latitude) for a, b in zip(rows, rows[1:])) <= 10 * len(events)
