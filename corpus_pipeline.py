@@ -26,15 +26,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id, one row of it if it is repeated."""
+    """One document of each group of near copies stays: the one with the smallest id, one row of it if it is repeated.
+
+    The kept ids are nearly as many as the documents, so they are never broadcast.
+    """
     if ids.plain(docs):
         classes = simhash.near_duplicates(docs)
-        return docs.join(classes.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(
-            *docs.columns)
+        return docs.join(classes.where("doc_id = component_id").select("doc_id").hint("merge"), "doc_id",
+                         "left_semi").select(*docs.columns)
     rows = ids.numbered(docs)
     classes = simhash.near_duplicates(rows.select("number", "row.text"), "number")
     first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("number"))
-    return rows.join(first, "number", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return rows.join(first.hint("merge"), "number", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,3 +96,11 @@ def test_odd_rows(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 4, 5, 5, 6, 7]
     assert [r.text for r in kept if r.doc_id is None] == ["Text without an id"]
+
+
+def test_near_dedup_never_broadcasts_the_kept_ids(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} of its own {i * 7919} words") for i in range(9)],
+                                 "doc_id bigint, text string")
+    for rows in (docs, docs.union(docs.limit(1))):
+        kept = corpus_pipeline.near_dedup(spark, rows, "")
+        assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
